@@ -3,11 +3,15 @@
 from pyspark.sql import functions as F
 
 from orderloom.functions.times import DAY_US
+from orderloom.functions.text import trimmed
+from orderloom.llm.mixing import mix, shares
+from orderloom.llm.packing import pack_documents
 from orderloom.llm.quantiles import merge, percentiles, sketch
 from orderloom.llm.runs import collapse_runs
+from orderloom.llm.tokens import with_sizes
 from orderloom.plans.problem_queries import METAORDERS_SQL
 from orderloom.plans.registry import Registry
-from orderloom.sources.tables import metaorders, written
+from orderloom.sources.tables import metaorders, table, written
 
 R = Registry()
 
@@ -79,3 +83,34 @@ def p6_runs(spark, sf_dir):
     """Runs of one direction and nearly equal size (squared deviations of ln q, penalty 0.5 a run), with count and duration."""
     rows = _directed(spark, sf_dir, "q").withColumn("ln_q", F.when(F.col("q") > 0, F.ln("q")))
     return collapse_runs(rows, ["member_id", "isin", "day"], "start_us", "metaorder_id", "direction", "ln_q", penalty=0.5)
+
+
+# Problem 7: packing
+
+
+@R.add()
+def p7_containers(spark, sf_dir):
+    """All texts in containers of 2,048 tokens, with container, offset and fill."""
+    return pack_documents(with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# Problem 8: mixing
+
+
+def _mixed(spark, sf_dir):
+    docs = with_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), size="size")
+    docs = written(docs.withColumn("source", F.lower(trimmed(F.col("source")))), "sizes")
+    targets = table(spark, sf_dir, "mix_targets").withColumn("source", F.lower(trimmed(F.col("source"))))
+    return mix(docs, targets), targets
+
+
+@R.add()
+def p8_mix(spark, sf_dir):
+    """A selection of documents with the target share of tokens per source."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("size", "n_tokens")
+
+
+@R.add()
+def p8_shares(spark, sf_dir):
+    """Target and actual share of tokens per source, and the most copies of a document."""
+    return shares(*_mixed(spark, sf_dir)).withColumnRenamed("size", "n_tokens")

@@ -1,0 +1,108 @@
+"""The exact check of what the tagger marked: its shape by type, its exact bounds, and known look-alikes."""
+
+import regex
+
+# Local parts of function and machine addresses.
+ROLE_WORDS = frozenset(
+    "abuse accounts admin alerts archive billing bot build bugs careers ci contact cron daemon desk dev devops do donotreply feedback git "
+    "hello help helpdesk hostmaster hr info it jobs legal list lists mail mailer marketing news newsletter no noc noreply nobody "
+    "notifications office ops orders payments postmaster press privacy releases reply robot root runner sales security service "
+    "services staff support svc sysadmin system team test tickets web webmaster www".split()
+)
+# Capitalised words that are no part of a person's name.
+NO_NAME = frozenset(
+    "copyright licensed license licence author authors maintainer contact owner reviewed written questions todo fixme systems labs group "
+    "tools software foundation partners terms works inc ltd llc gmbh corp company university institute street road lane avenue court ct "
+    "st via calle rue apt unit north south east west select from where group by having order is not null and or join count sum insert "
+    "into values limit as on set update delete create table the this that these part code error begin end key public private adaptive "
+    "rolling grace period mr mrs ms dr do edit generated open".split()
+)
+
+_L = r"[\p{L}\p{M}]"
+_NAME = rf"(?:\p{{Lu}}{_L}+(?:[’']\p{{Lu}}{_L}+)?(?:-\p{{Lu}}{_L}+)*)"
+_INIT = r"(?:\p{Lu}\.[ ]?)"
+_CAP = rf"\p{{Lu}}[\p{{L}}'’-]*"
+_DOMAIN_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+_WAY = r"(?:Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Court|Ct\b\.?|Drive|Dr\b\.?|Boulevard|Blvd\b\.?|Square|Sq\b\.?|Place|Pl\b\.?|Terrace|Way|Close|Crescent|Highway|Parkway)"
+_UNIT = r"(?:,? (?:Apt|Unit|Flat|Suite|Ste|Apartment|No)\b\.? ?#?\d+[A-Za-z]?)?"
+
+SHAPES = {
+    "email": regex.compile(
+        rf"(?<![\w.+-])[A-Za-z0-9_][\w.+-]*(?:@{_DOMAIN_LABEL}(?:\.{_DOMAIN_LABEL})+"
+        rf"|[ ]?[\[({{<]at[\])}}>][ ]?{_DOMAIN_LABEL}(?:(?:\.|[ ]?[\[({{<]dot[\])}}>][ ]?){_DOMAIN_LABEL})+"
+        rf"|[ ]at[ ]{_DOMAIN_LABEL}(?:[ ]dot[ ]{_DOMAIN_LABEL})+)",
+        regex.I | regex.ASCII,
+    ),
+    "national_id": regex.compile(
+        r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])(?![\w-])", regex.I
+    ),
+    "phone": regex.compile(r"(?<![\w.+/:-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{1,14}(?:[ ./-]\d{2,8}){0,6}(?![\w/:]|[.-]\d)"),
+    "street": regex.compile(
+        rf"(?<![\w.+-])(?:\d{{1,5}}[A-Za-z]?,? (?:{_CAP}\.? ){{1,4}}?{_WAY}{_UNIT}"
+        rf"|\d{{1,5}}(?: ?bis| ?ter|[a-z])?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours) (?:(?:de|du|des|la|le|les) )*{_CAP}(?: {_CAP})?"
+        rf"|(?:Via|Viale|Vicolo|Piazza|Corso|Largo|Calle|Avenida|Paseo|Plaza|Rua|Rue) (?:(?:de|del|della|dei|la|las|los) )*{_CAP}(?: {_CAP})?,? \d{{1,5}}[A-Za-z]?"
+        rf"|\p{{Lu}}[\p{{L}}-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|damm|ufer) \d{{1,5}}[a-z]?)(?!\w)"
+    ),
+    "name": regex.compile(rf"(?<![\p{{L}}\p{{M}}\d_-])(?:{_INIT}{{1,2}}{_NAME}|{_NAME}, {_NAME}(?: \p{{Lu}}\.)?|{_NAME}(?: {_INIT}){{0,2}} {_NAME}|{_NAME} {_INIT}{_NAME})(?![\p{{L}}\p{{M}}\d_])"),
+}
+
+
+def _email(text: str, m) -> bool:
+    local = regex.split(r"@|[ ]?[\[({<]?\bat\b", m.group(), maxsplit=1, flags=regex.I)[0].strip().lower().split("+")[0]
+    words = [x for x in regex.split(r"[._\d-]+", local) if x]
+    if not words or any(x in ROLE_WORDS for x in words):
+        return False
+    domain = m.group()[len(local) :]
+    if not regex.search(r"[A-Za-z]{2,}$", domain):
+        return False
+    before = text[max(0, m.start() - 80) : m.start()]
+    return not regex.search(r"://\S*[:/]$|://[^\s@/]*$", before)
+
+
+def _phone(text: str, m) -> bool:
+    s = m.group()
+    n = sum(c.isdigit() for c in s)
+    if not 8 <= n <= 15:
+        return False
+    if SHAPES["national_id"].fullmatch(s):
+        return False
+    if s[0] in "+(":
+        return len(set(s)) > 3
+    return bool(regex.fullmatch(r"0\d{1,4}[ /-]\d{3,9}(?:[ -]\d{2,6}){0,3}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3} \d{3} \d{4}", s))
+
+
+def _name(text: str, m) -> bool:
+    words = regex.findall(rf"{_L}+", m.group())
+    long = [w for w in words if len(w) > 1]
+    if any(w.lower() in NO_NAME for w in long):
+        return False
+    if sum(w.isupper() for w in long) not in (0, len(long)):
+        return False
+    return bool(long)
+
+
+CHECKS = {"email": _email, "phone": _phone, "name": _name}
+ROOM = {"email": 24, "phone": 8, "national_id": 6, "street": 16, "name": 16}
+
+
+def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
+    """The exact span of what was marked, or None: the match of the type's shape, or else of another's, that covers most of it.
+
+    A shape may reach a few characters beyond the mark, as the tagger's bounds need not be exact.
+    """
+    best = None
+    for k in (kind, *[x for x in SHAPES if x != kind]):
+        room = ROOM[k]
+        lo, hi = max(0, start - room), min(len(text), end + room)
+        for m in SHAPES[k].finditer(text, lo, hi, overlapped=k == "name"):
+            shared = min(end, m.end()) - max(start, m.start())
+            if shared * 2 < min(end - start, m.end() - m.start()) or shared <= 0:
+                continue
+            if k in CHECKS and not CHECKS[k](text, m):
+                continue
+            rank = (shared / max(end - start, m.end() - m.start()), -m.start())
+            if best is None or rank > best[0]:
+                best = (rank, (m.start(), m.end(), k))
+        if best:
+            break
+    return best and best[1]

@@ -20,14 +20,13 @@ from orderloom.llm.pii_check import NO_NAME, settle
 from orderloom.llm.pii_examples import TYPES, Maker
 from orderloom.llm.tagger import PAD, Tagger, char_classes, spans
 
-HIDDEN = 24
-STEPS = 500
-BATCH = 64
+HIDDEN = 16
+STEPS = 1500
+BATCH = 32
 LENGTH = 112  # of training windows
 WINDOW = 160  # of decoded windows
 OVERLAP = 64
 AROUND = 40  # characters decoded before and after a stretch, within the line
-FAVOUR = 1.0  # taken from the score of O: the exact check prunes what is marked too much
 CHUNK = 1 << 20  # characters worked on at once
 ROWS = 512  # windows decoded at once
 
@@ -208,7 +207,7 @@ def marked(text: str, tagger: Tagger, parts: dict[str, int]) -> list[tuple[int,
         at = lo[rows][:, None] + np.arange(width)
         real = at < hi[rows][:, None]
         at = np.minimum(at, n - 1)
-        labels = tagger.decode(np.where(real, chars[at], PAD), np.where(real, flags[at], 0), FAVOUR)
+        labels = tagger.decode(np.where(real, chars[at], PAD), np.where(real, flags[at], 0))
         for r, s, e, kind in spans(labels):
             w0, w1 = int(lo[rows[r]]), int(hi[rows[r]])
             # how far the span keeps from an edge at which the window was cut

@@ -6,6 +6,7 @@ from orderloom.functions.times import DAY_US
 from orderloom.functions.text import trimmed
 from orderloom.llm.mixing import mix, shares
 from orderloom.llm.packing import pack_documents
+from orderloom.llm.pii import find_pii, redact_pii
 from orderloom.llm.quantiles import merge, percentiles, sketch
 from orderloom.llm.runs import collapse_runs
 from orderloom.llm.tokens import with_sizes
@@ -114,3 +115,19 @@ def p8_mix(spark, sf_dir):
 def p8_shares(spark, sf_dir):
     """Target and actual share of tokens per source, and the most copies of a document."""
     return shares(*_mixed(spark, sf_dir)).withColumnRenamed("size", "n_tokens")
+
+
+# Problem 9: personal data
+
+
+@R.add()
+def p9_found(spark, sf_dir):
+    """Each distinct value of personal data in a document, by type."""
+    found = find_pii(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+    return found.select("doc_id", "pii_type", "pii_value").distinct()
+
+
+@R.add()
+def p9_redacted(spark, sf_dir):
+    """All texts with typed placeholders in place of personal data, and how many."""
+    return redact_pii(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))

@@ -103,10 +103,9 @@ class Tagger:
         emit = emit.reshape(n, b, -1)
         return (emit, both, kept, mask) if keep else emit
 
-    def decode(self, chars: np.ndarray, flags: np.ndarray, favour: float = 0.0) -> np.ndarray:
-        """The best label of each character (batch, length). favour is taken from the score of O."""
+    def decode(self, chars: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """The best label of each character (batch, length)."""
         emit = self.run(chars, flags)
-        emit[..., 0] -= favour
         step = self.weights["step"] + self.allowed()
         real = (chars != PAD).T
         best = np.zeros(real.shape, np.int8)
@@ -220,7 +219,7 @@ class Tagger:
                 g[name][q] = hot @ dq
         return loss, g
 
-    def train(self, draw, steps: int, rate: float = 0.01) -> list[float]:
+    def train(self, draw, steps: int, rate: float = 0.02) -> list[float]:
         """Adam over steps batches of draw(step): (chars, flags, gold). Returns the losses."""
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         v = {k: np.zeros_like(x) for k, x in self.weights.items()}

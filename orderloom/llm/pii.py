@@ -23,6 +23,7 @@ from orderloom.llm.tagger import PAD, Tagger, char_classes, spans
 HIDDEN = 16
 STEPS = 1500
 BATCH = 32
+POOL = 12_000  # labelled windows it is trained on
 LENGTH = 112  # of training windows
 WINDOW = 160  # of decoded windows
 OVERLAP = 64
@@ -112,13 +113,14 @@ def trained(parts: tuple[tuple[str, str], ...], steps: int = STEPS, hidden: int
     """A tagger trained on invented labelled lines; the same for the same arguments, and made once a process."""
     known = gazetteer(list(parts))
     maker = Maker(seed, list(parts))
-    pool = [encode_example(*maker.window(LENGTH), known, LENGTH) for _ in range(12_000)]
+    pool = [encode_example(*maker.window(LENGTH), known, LENGTH) for _ in range(POOL)]
+    pool.sort(key=lambda x: int((x[0] != PAD).sum()))  # windows of about the same length make a batch
     chars, flags, gold = (np.stack(x) for x in zip(*pool))
     rng = np.random.default_rng(seed)
     tagger = Tagger.fresh(TYPES, hidden, seed)
 
     def draw(_: int):
-        at = rng.integers(0, len(chars), BATCH)
+        at = rng.integers(0, len(chars) - 20 * BATCH) + rng.choice(20 * BATCH, BATCH, replace=False)
         width = max(1, int((chars[at] != PAD).sum(1).max()))
         hide = rng.random((BATCH, 1)) < 0.25  # names that no list knows
         return chars[at, :width], np.where(hide, 0, flags[at, :width]), gold[at, :width]

@@ -165,7 +165,7 @@ def a20_quantile_heatmap(spark, sf_dir):
 
 @R.add(f"""
 with {ETA_SQL}
-select eta_bin::int as eta_bin, day, count(*) as n, round(sum(direction), 6) + 0.0 as sx, round(sum(imbalance), 4) + 0.0 as sy,
+select eta_bin::int as eta_bin, day, count(*) as n, sum(direction)::double + 0.0::double as sx, round(sum(imbalance), 4) + 0.0 as sy,
        round(sum(imbalance * imbalance), 4) as syy, round(sum(direction * imbalance), 4) + 0.0 as sxy
 from binned group by all""")
 def a16_sufficient_statistics(spark, sf_dir):
@@ -211,9 +211,8 @@ pairs as (
   select a.metaorder_id, a.q as q_own, b.metaorder_id as other, b.q, b.direction as d, b.flow as f,
          case when a.end_us = a.start_us then (b.start_us <= a.start_us and b.end_us >= a.start_us)::int::double
               else greatest(least(a.end_us, b.end_us) - greatest(a.start_us, b.start_us), 0) / (a.end_us - a.start_us) end as w
-  from iv a left join iv b on a.isin = b.isin and a.day = b.day and a.metaorder_id <> b.metaorder_id
-       and b.start_us <= a.end_us and b.end_us >= a.start_us)
-select metaorder_id, count(*) filter (w > 0) as all_count, count(*) filter (w > 0 and f = 'proprietary') as prop_count,
+  from iv a left join iv b on a.isin = b.isin and a.day = b.day and a.metaorder_id <> b.metaorder_id)
+select metaorder_id, count(other) filter (w > 0) as all_count, count(*) filter (w > 0 and f = 'proprietary') as prop_count,
        count(*) filter (w > 0 and f = 'client') as client_count,
        round(coalesce(sum(w * q), 0), 2) + 0.0 as gross, round(coalesce(sum(w * q * d), 0), 2) + 0.0 as net,
        round(coalesce(sum(w * q) filter (f = 'proprietary'), 0), 2) + 0.0 as prop_gross,
@@ -249,13 +248,12 @@ def _cell():
 with {facts_sql()},
 iv as (select * from fact where start_us is not null and end_us >= start_us and member_id is not null),
 pairs as (
-  select a.metaorder_id, b.q, b.direction as d,
+  select a.metaorder_id, b.metaorder_id as other, b.q, b.direction as d,
          case when a.end_us = a.start_us then (b.start_us <= a.start_us and b.end_us >= a.start_us)::int::double
               else greatest(least(a.end_us, b.end_us) - greatest(a.start_us, b.start_us), 0) / (a.end_us - a.start_us) end as w
   from iv a left join iv b on a.member_id = b.member_id and a.isin = b.isin and a.day = b.day and b.flow = 'client'
-       and b.start_us <= a.end_us and b.end_us >= a.start_us
   where a.flow = 'proprietary')
-select metaorder_id, count(*) filter (w > 0) as clients, round(coalesce(sum(w * q), 0), 2) + 0.0 as client_gross,
+select metaorder_id, count(other) filter (w > 0) as clients, round(coalesce(sum(w * q), 0), 2) + 0.0 as client_gross,
        round(coalesce(sum(w * q * d), 0), 2) + 0.0 as client_net
 from pairs group by metaorder_id""")
 def j10_member_overlap(spark, sf_dir):
@@ -287,8 +285,7 @@ select a.metaorder_id,
        count(b.metaorder_id) filter (b.direction = a.direction and b.start_us > a.start_us) as same_after,
        count(b.metaorder_id) filter (b.direction <> a.direction and b.start_us < a.start_us) as opposite_before,
        count(b.metaorder_id) filter (b.direction <> a.direction and b.start_us > a.start_us) as opposite_after
-from s a left join s b on a.isin = b.isin and a.day = b.day and b.start_us between a.start_us - {WINDOW_US} and a.start_us + {WINDOW_US}
-     and b.start_us <> a.start_us
+from s a left join s b on a.isin = b.isin and a.day = b.day and abs(b.start_us - a.start_us) <= {WINDOW_US}
 group by a.metaorder_id""")
 def j11_start_neighbours(spark, sf_dir):
     """Other starts in the ISIN within 20 minutes before and after, of the same and the other direction."""

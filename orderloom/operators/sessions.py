@@ -48,18 +48,20 @@ def runs_of(positions: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sessions(group: np.ndarray, cell: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, gap_us: int, cell_us: int):
     """Row number of each session's first cell, its start, end and count. Rows come sorted by group and cell."""
-    reach = max(0, gap_us // cell_us - 2)
+    reach = max(0, (gap_us + 1) // cell_us - 2)  # cells reach + 1 apart hold no instants further apart than the gap
     heads = np.flatnonzero(np.diff(group, prepend=group[0] - 1))
-    sizes = np.diff(np.append(heads, len(group)))
-    span = cell[heads + sizes - 1] - cell[heads] + reach + 3
-    room = np.cumsum(span) - span
+    # a stretch of empty cells that no closing can fill may be any longer: it is cut to a bit more than the reach
+    ahead = np.minimum(np.diff(cell, prepend=cell[0]), reach + 3)
+    ahead[heads] = reach + 3
+    if gap_us == 0:  # then no two cells belong together
+        ahead = ahead + 1
+    place = np.cumsum(ahead)
     out, lo = [], 0
     while lo < len(heads):
-        hi = max(lo + 1, int(np.searchsorted(room, room[lo] + MAX_BITS)))
-        a, b = heads[lo], heads[hi - 1] + sizes[hi - 1]
-        at = cell[a:b] - np.repeat(cell[heads[lo:hi]], sizes[lo:hi]) + np.repeat(room[lo:hi] - room[lo], sizes[lo:hi])
-        starts, _ = runs_of(at, reach)
-        out.append(a + np.searchsorted(at, starts))
+        hi = max(lo + 1, int(np.searchsorted(place[heads], place[heads[lo]] + MAX_BITS)))
+        a, b = heads[lo], heads[hi] if hi < len(heads) else len(cell)
+        at = place[a:b] - place[a]
+        out.append(a + np.searchsorted(at, runs_of(at, reach)[0]))
         lo = hi
     begin = np.concatenate(out)
     start, end = first[begin], last[np.append(begin[1:], len(cell)) - 1]
@@ -81,11 +83,13 @@ def sessionize(
 
     A new session begins where more than gap_us lie between an instant and the one before. Events with a NULL in
     an entity column or in the time are left out; repeated rows and ties count as events; an empty table gives
-    none; other columns don't matter, but entity columns must not bear the result's names. gap_us may be 0.
+    none; other columns don't matter, but entity columns must not bear the result's names. gap_us may be 0. A cell is
+    at most half as long as the gap, so that neighbouring cells always belong together.
 
     Events are counted per cell before they are shuffled (at most frame_us / cell_us rows an entity and frame,
     however many events a hot entity has), and tasks get whole entity-frames, one after another.
     """
+    cell_us = max(1, min(cell_us, (gap_us + 1) // 2))
     key = [*entity, "frame"]
     cells = (
         events.select(*entity, F.col(time_us).cast("bigint").alias("_us"))

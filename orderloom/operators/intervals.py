@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.times import floor_div
+from orderloom.sources.tables import written
 
 SLICE_US = 900_000_000
 
@@ -37,7 +38,8 @@ def periods_and_gaps(intervals: DataFrame, entity: list[str], start: str, end: s
     ends = rows.select(*own, "_e", (F.row_number().over(by.orderBy("_e")) + 1).alias("_i"))
     # the (i-1)th end beside the i-th start; the first start has none, the last end no start
     pairs = starts.join(ends, [*own, "_i"], "full_outer")
-    breaks = pairs.filter("_s is null or _e is null or _s > _e")
+    # few rows are left here; they are written, as they are used three times
+    breaks = written(pairs.filter("_s is null or _e is null or _s > _e"), "breaks")
 
     reach = breaks.filter("_s is null").select(*own, F.col("_e").alias("_reach"))
     before = Window.partitionBy(*entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,14 +55,13 @@ def periods_and_gaps(intervals: DataFrame, entity: list[str], start: str, end: s
     here = by.orderBy("_s")
     lead = begins.select(*own, "_s", "_prior", F.lead("_prior").over(here).alias("_to"), F.row_number().over(here).alias("_k"))
     firsts = begins.groupBy(*own).agg(F.min_by("_prior", "_s").alias("_first_prior"))
-    after = Window.partitionBy(*entity).orderBy("_slice")
-    later = after.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*entity).orderBy(F.col("_slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
     close = (
         reach.join(firsts, own, "left")
         .select(
             *own,
             F.coalesce(
-                F.first("_first_prior", ignorenulls=True).over(later),
+                F.last("_first_prior", ignorenulls=True).over(later),
                 F.max("_reach").over(Window.partitionBy(*entity)),
             ).alias("_last_to"),
         )

@@ -75,7 +75,9 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, seed:
     table gives none. Other columns are dropped. items must be cheap to read again and in a fixed order, as a
     written table is.
     """
-    sized = items.select(F.col(item), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("_size"))
+    kind_of_item = items.schema[item].dataType
+    # items go as strings: pandas would make doubles of numbers beside NULLs
+    sized = items.select(F.col(item).cast("string").alias(item), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("_size"))
     # an item of size 0 makes one piece too; one of k times the capacity makes k full ones and no rest
     pieces = F.greatest(F.lit(1), F.ceil(F.col("_size") / capacity)).cast("int")
     each = sized.select(item, "_size", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece")).withColumn(
@@ -110,7 +112,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, seed:
         number = np.repeat(np.arange(len(heads)), count)
         return pd.DataFrame(
             {
-                item: rows[item].array,
+                item: rows[item].to_numpy(object),
                 "piece": rows["piece"].to_numpy(np.int32),
                 "container": rows["_block"].to_numpy(np.int64) * STRIDE + number,
                 "token_from": rows["piece"].to_numpy(np.int64) * capacity,
@@ -137,7 +139,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, seed:
         F.lit(0).cast("bigint").alias("offset"),
         F.lit(1.0).alias("fill"),
     )
-    return own.unionByName(rest)
+    return own.unionByName(rest).withColumn(item, F.col(item).cast(kind_of_item))
 
 
 def pack_documents(documents_sized: DataFrame, capacity: int = CAPACITY, seed: int = 0) -> DataFrame:

@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from orderloom.llm.pii_check import NO_NAME, settle
@@ -274,10 +275,11 @@ def find_pii(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", t
     pii_value.
     """
     tagger, parts = _tagger(name_parts)
-    rows = documents.select(key, text)
+    kind_of_key = documents.schema[key].dataType
+    rows = documents.select(F.col(key).cast("string").alias(key), text)  # pandas would make doubles of numbers beside NULLs
     schema = StructType(
         [
-            rows.schema[key],
+            StructField(key, StringType()),
             StructField("start", IntegerType()),
             StructField("end", IntegerType()),
             StructField("pii_type", StringType()),
@@ -291,28 +293,32 @@ def find_pii(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", t
             got = found_in(texts, tagger, parts)
             many = [len(x) for x in got]
             flat = [(s, e, kind, t[s:e]) for t, x in zip(texts, got) for s, e, kind in x]
-            out = batch[[key]].iloc[np.repeat(np.arange(len(batch)), many)].reset_index(drop=True)
-            columns = list(zip(*flat)) if flat else [[], [], [], []]
-            yield out.assign(**{c: list(v) for c, v in zip(("start", "end", "pii_type", "pii_value"), columns)})
+            columns = list(zip(*flat)) if flat else [(), (), (), ()]
+            kinds = {"start": "int32", "end": "int32", "pii_type": object, "pii_value": object}
+            out = {c: pd.Series(list(v), dtype=d) for (c, d), v in zip(kinds.items(), columns)}
+            keys = batch[key].to_numpy(object)[np.repeat(np.arange(len(batch)), many)]
+            yield pd.DataFrame({key: pd.Series(keys, dtype=object), **out})
 
-    return rows.mapInPandas(find, schema)
+    return rows.mapInPandas(find, schema).withColumn(key, F.col(key).cast(kind_of_key))
 
 
 def redact_pii(documents: DataFrame, name_parts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, text with [EMAIL], [PHONE], [NATIONAL_ID], [STREET] and [NAME] in place of what was found,
     n_replaced. All else of the text is unchanged; a NULL text stays NULL. Otherwise as find_pii()."""
     tagger, parts = _tagger(name_parts)
-    rows = documents.select(key, text)
-    schema = StructType([rows.schema[key], StructField(text, StringType()), StructField("n_replaced", LongType())])
+    kind_of_key = documents.schema[key].dataType
+    rows = documents.select(F.col(key).cast("string").alias(key), text)
+    schema = StructType([StructField(key, StringType()), StructField(text, StringType()), StructField("n_replaced", LongType())])
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t or "" for t in batch[text]]
             got = found_in(texts, tagger, parts)
             new = [redacted(t, x) if x else old for t, x, old in zip(texts, got, batch[text])]
-            yield batch[[key]].assign(**{text: new, "n_replaced": [len(x) for x in got]})
+            n = pd.Series([len(x) for x in got], dtype="int64")
+            yield pd.DataFrame({key: batch[key].astype(object), text: pd.Series(new, dtype=object), "n_replaced": n})
 
-    return rows.mapInPandas(replace, schema)
+    return rows.mapInPandas(replace, schema).withColumn(key, F.col(key).cast(kind_of_key))
 
 
 def redacted(text: str, found: list[tuple[int, int, str]]) -> str:

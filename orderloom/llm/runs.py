@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from orderloom.llm.batches import changes, whole_groups
 
@@ -84,6 +84,7 @@ def collapse_runs(
             F.col(kind).cast("int").alias("_kind"),
             F.col(time_us).cast("bigint").alias("_t"),
             F.col(event_id).cast("bigint").alias("_id"),
+            F.col(event_id).cast("string").alias("_name"),  # pandas would make doubles of numbers beside NULLs
             (F.lit(float("nan")) if level is None else F.coalesce(F.col(level).cast("double"), F.lit(float("nan")))).alias("_x"),
         )
         .dropna(subset=[*entity, "_kind", "_t"])
@@ -93,7 +94,7 @@ def collapse_runs(
     key = [*entity, "_kind"]
     schema = StructType(
         [rows.schema[c] for c in entity]
-        + [StructField("kind", IntegerType()), StructField("first_id", LongType()), StructField("last_id", LongType())]
+        + [StructField("kind", IntegerType()), StructField("first_id", StringType()), StructField("last_id", StringType())]
         + [StructField("n_events", LongType()), StructField("level_mean", DoubleType())]
         + [StructField(c, LongType()) for c in ("start_us", "end_us", "duration_us")]
     )
@@ -117,8 +118,8 @@ def collapse_runs(
         first, last = part["_t"].to_numpy()[heads], part["_t"].to_numpy()[ends]
         return out.assign(
             kind=part["_kind"].to_numpy()[heads],
-            first_id=part["_id"].iloc[heads].array,
-            last_id=part["_id"].iloc[ends].array,
+            first_id=part["_name"].to_numpy(object)[heads],
+            last_id=part["_name"].to_numpy(object)[ends],
             n_events=ends - heads + 1,
             level_mean=np.where(n > 0, total / np.maximum(n, 1), np.nan),
             start_us=first,
@@ -126,4 +127,5 @@ def collapse_runs(
             duration_us=last - first,
         )
 
-    return rows.mapInPandas(find, schema).withColumn("level_mean", F.nanvl("level_mean", F.lit(None).cast("double")))
+    ids = {c: F.col(c).cast("bigint") for c in ("first_id", "last_id")}
+    return rows.drop("_id").mapInPandas(find, schema).withColumns({**ids, "level_mean": F.nanvl("level_mean", F.lit(None).cast("double"))})

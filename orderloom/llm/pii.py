@@ -30,7 +30,7 @@ WINDOW = 160  # of decoded windows
 OVERLAP = 64
 AROUND = 40  # characters decoded before and after a stretch, within the line
 CHUNK = 1 << 20  # characters worked on at once
-ROWS = 512  # windows decoded at once
+ROWS = 128  # windows decoded at once: their states fit a core's cache
 
 
 def word_flags(text: str, parts: dict[str, int], tokens: Iterator[tuple[int, int]], n: int) -> np.ndarray:

@@ -83,3 +83,31 @@ def neighbours(rows: DataFrame, cell: list[str], time: str, sign: str, window_us
             for side, w in (("before", before), ("after", after))
         }
     )
+
+
+def lead_lag(rows: DataFrame, cell: list[str], key: str, start: str, end: str, q: str, mine: Column, other: Column) -> DataFrame:
+    """Per row of mine: key, and number and volume of the others that were already active at its start (begun at or before
+    it, not ended before it) and that began while it ran (after its start, at or before its end).
+
+    Running sums over the boundaries of both kinds; a row that is of both kinds doesn't count for itself. Rows with NULL or
+    reversed times, a NULL q or key are left out.
+    """
+    own = rows.filter(F.col(start).isNotNull() & (F.col(end) >= F.col(start)) & F.col(q).isNotNull() & F.col(key).isNotNull())
+    no = F.lit(False)
+    base = own.select(*cell, F.col(key).alias("_id"), F.col(q).alias("_q"), F.coalesce(mine, no).alias("_m"), F.coalesce(other, no).alias("_o"),
+                      F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(0).alias("k")), F.struct(F.col(end).alias("t"), F.lit(1).alias("k")))).alias("_b"))
+    b = base.select(*cell, "_id", "_q", "_m", "_o", "_b.t", "_b.k").filter("_m or _o")
+    upto = Window.partitionBy(*cell).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*cell).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    begun, ended = F.col("_o") & (F.col("k") == 0), F.col("_o") & (F.col("k") == 1)
+    sums = {}
+    for name, c in (("n", F.lit(1.0)), ("v", F.col("_q"))):
+        sums[f"s_{name}"] = F.sum(F.when(begun, c).otherwise(0.0)).over(upto)
+        sums[f"e_{name}"] = F.coalesce(F.sum(F.when(ended, c).otherwise(0.0)).over(before), F.lit(0.0))
+    swept = b.withColumns(sums).filter("_m")
+    at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    self_n, self_v = F.max(F.col("_o").cast("double")), F.max(F.when(F.col("_o"), F.col("_q")).otherwise(0.0))
+    return swept.groupBy(*cell, F.col("_id").alias(key)).agg(
+        (at("s_n", 0) - at("e_n", 0) - self_n).cast("bigint").alias("preexisting"), (at("s_v", 0) - at("e_v", 0) - self_v).alias("preexisting_volume"),
+        (at("s_n", 1) - at("s_n", 0)).cast("bigint").alias("started"), (at("s_v", 1) - at("s_v", 0)).alias("started_volume"),
+    )

@@ -7,7 +7,7 @@ from orderloom.functions.times import DAY_US
 from orderloom.operators import bins
 from orderloom.operators.crowding import demeaned, environment, leave_one_out
 from orderloom.operators.moments import correlation, correlation_sql, merged_sums, pair_sums
-from orderloom.operators.overlap import active_volume, neighbours
+from orderloom.operators.overlap import active_volume, lead_lag, neighbours
 from orderloom.plans.problem_queries import METAORDERS_SQL
 from orderloom.plans.registry import Registry
 from orderloom.sources.tables import metaorders
@@ -274,6 +274,22 @@ def j10_member_overlap(spark, sf_dir):
     )
 
 
+@R.add(f"""
+with {facts_sql()},
+iv as (select * from fact where start_us is not null and end_us >= start_us and member_id is not null),
+pairs as (
+  select a.metaorder_id, b.q, b.start_us <= a.start_us and b.end_us >= a.start_us as pre, b.start_us > a.start_us and b.start_us <= a.end_us as during
+  from iv a left join iv b on a.member_id = b.member_id and a.day = b.day and b.flow = 'client' where a.flow = 'proprietary')
+select metaorder_id, count(*) filter (pre) as preexisting, round(coalesce(sum(q) filter (pre), 0), 3) + 0.0 as preexisting_volume,
+       count(*) filter (during) as started, round(coalesce(sum(q) filter (during), 0), 3) + 0.0 as started_volume from pairs group by metaorder_id""")
+def j10_lead_lag(spark, sf_dir):
+    """Client metaorders of the member, in any ISIN, that run when a proprietary one starts, and that start while it runs."""
+    rows = facts(spark, sf_dir).filter("member_id is not null and flow is not null")
+    got = lead_lag(rows, ["member_id", "day"], "metaorder_id", "start_us", "end_us", "q", F.col("flow") == "proprietary", F.col("flow") == "client")
+    r = lambda c: (F.round(c, 3) + 0.0).alias(c)
+    return got.select("metaorder_id", "preexisting", r("preexisting_volume"), "started", r("started_volume"))
+
+
 WINDOW_US = 20 * 60 * 1_000_000
 
 

@@ -102,10 +102,10 @@ from want w asof left join (select t, arg_max(price, row_id) as price from tape
 def j02_as_of(spark, sf_dir):
     """The tape's last price at or before one instant per order, in any earlier day if need be."""
     t = tape(spark, sf_dir)
-    first = t.agg(F.min("day").alias("d0"))
+    first = t.agg(F.min("day")).first()[0]
     k = F.col("o_orderkey")
-    want = table(spark, sf_dir, "orders").crossJoin(F.broadcast(first)).select(  # one row: the tape's first day
-        "o_orderkey", F.lit("X").alias("isin"), ((F.col("d0") + k % 30) * DAY_US + (k % 86400) * 1_000_000).alias("t")
+    want = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lit("X").alias("isin"), ((F.lit(first) + k % 30) * DAY_US + (k % 86400) * 1_000_000).alias("t")
     )
     got = ops.as_of(t, want, ["isin"], "t", "row_id", "price", DAY, "price")
     return got.select("o_orderkey", "t", F.round("price", 6).alias("price"))

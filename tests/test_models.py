@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from orderloom.operators import bins, models
 from orderloom.operators.moments import correlation, pair_sums
-from orderloom.operators.overlap import active_volume
+from orderloom.operators.overlap import active_volume, lead_lag
 from orderloom.operators.ranks import value_ranks
 
 
@@ -100,3 +100,20 @@ def test_active_volume_is_that_of_all_pairs(spark, seed):
                 w = float(x[2] <= s <= x[3]) if s == e else max(0, min(e, x[3]) - max(s, x[2])) / (e - s)
                 volume, n = volume + w * x[4], n + (w > 0)
             assert row[f"{name}_volume"] == pytest.approx(volume, abs=1e-6) and row[f"{name}_count"] == n
+
+
+def test_lead_and_lag_are_those_of_all_pairs(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(150):
+        s = r.randrange(0, 40)
+        rows.append((i, r.choice("ab"), s, s + r.choice([0, 0, 1, 5, 20]), float(r.randint(1, 9)), r.random() < 0.6, r.random() < 0.6))
+    df = spark.createDataFrame(rows, "id int, c string, s bigint, e bigint, q double, mine boolean, other boolean")
+    got = {x["id"]: x for x in lead_lag(df, ["c"], "id", "s", "e", "q", F.col("mine"), F.col("other")).collect()}
+    assert set(got) == {x[0] for x in rows if x[5]}
+    for i, x in got.items():
+        _, c, s, e, *_ = rows[i]
+        others = [y for y in rows if y[0] != i and y[1] == c and y[6]]
+        pre, during = [y for y in others if y[2] <= s <= y[3]], [y for y in others if s < y[2] <= e]
+        assert (x["preexisting"], x["started"]) == (len(pre), len(during))
+        assert x["preexisting_volume"] == pytest.approx(sum(y[4] for y in pre)) and x["started_volume"] == pytest.approx(sum(y[4] for y in during))

@@ -25,6 +25,10 @@ _CAP = rf"\p{{Lu}}[\p{{L}}'’-]*"
 _DOMAIN_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _WAY = r"(?:Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Court|Ct\b\.?|Drive|Dr\b\.?|Boulevard|Blvd\b\.?|Square|Sq\b\.?|Place|Pl\b\.?|Terrace|Way|Close|Crescent|Highway|Parkway)"
 _UNIT = r"(?:,? (?:Apt|Unit|Flat|Suite|Ste|Apartment|No)\b\.? ?#?\d+[A-Za-z]?)?"
+# No colon of a time, port or hexadecimal address, and no slash but that of tel:// or one after a label such as "Fax/".
+_BEFORE_PHONE = (
+    r"(?=[+(\d])(?<![\w.+-])(?:(?<![:/])|(?<=:)(?<!\d[\dA-Fa-f]{0,4}:)|(?<=/)(?:(?<=\btel:/{1,2})|(?<=(?<![^\s\"'(\[|,;>])\p{L}{0,12}/)))"
+)
 
 SHAPES = {
     "email": regex.compile(
@@ -36,7 +40,7 @@ SHAPES = {
     "national_id": regex.compile(
         r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|\d{3} \d{2} \d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|[A-Z]{6}\d{2}[A-Z]\d{2}[A-Z]\d{3}[A-Z])(?![\w-])", regex.I
     ),
-    "phone": regex.compile(r"(?<![\w.+/:-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d{1,14}(?:[ ./-]\d{2,8}){0,6}(?![\w/:]|[.-]\d)"),
+    "phone": regex.compile(rf"{_BEFORE_PHONE}(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{1,5}}\)[ .-]?)?\d{{1,14}}(?:[ ./-]\d{{2,8}}){{0,6}}(?!\w|[/:]\w|[.-]\d)"),
     "street": regex.compile(
         rf"(?<![\w.+-])(?:\d{{1,5}}[A-Za-z]?,? (?:{_CAP}\.? ){{1,4}}?{_WAY}{_UNIT}"
         rf"|\d{{1,5}}(?: ?bis| ?ter|[a-z])?,? (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|cours) (?:(?:de|du|des|la|le|les) )*{_CAP}(?: {_CAP})?"

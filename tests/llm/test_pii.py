@@ -69,6 +69,31 @@ def test_exact_check(text, marked, kind, value):
     assert (got and text[got[0] : got[1]]) == value
 
 
+@pytest.mark.parametrize(
+    ("text", "marked", "value"),
+    [
+        ('<a href="tel:+49 30 23125 567">', "+49 30 23125 567", "+49 30 23125 567"),
+        ('<a href="tel:+12065550114">', "+12065550114", "+12065550114"),
+        ('<a href="tel:+44 (0)1632 960497">', "+44 (0)1632 960497", "+44 (0)1632 960497"),
+        ('<a href="tel:+1 206-555-0117">', "+1 206-555-0117", "+1 206-555-0117"),
+        ('<a href="tel://+12065550114">', "+12065550114", "+12065550114"),
+        ('{"phone":0171 234567}', "0171 234567", "0171 234567"),
+        ("phone:(02) 5550 1234", "(02) 5550 1234", "(02) 5550 1234"),
+        ("Fax/+49 30 23125 567 or", "+49 30 23125 567", "+49 30 23125 567"),
+        ("+49 30 23125 567: not at night", "+49 30 23125 567", "+49 30 23125 567"),
+        ("at 12:30 0171 234567", "0171 234567", "0171 234567"),
+        ("at 10:0171 234567 rows", "0171 234567", None),
+        ("fe80:2b:0171 234567", "0171 234567", None),
+        ("https://x.example/0171-234567", "0171-234567", None),
+        ("see src/lib/0171-234567", "0171-234567", None),
+    ],
+)
+def test_phone_after_a_sign(text, marked, value):
+    at = text.index(marked)
+    got = settle(text, at, at + len(marked), "phone")
+    assert (got and text[got[0] : got[1]]) == value
+
+
 def test_documents(spark, tagger):
     line = "# Author: Anna Ostansky <anna.ostansky@mail.example>\n"
     filler = "x = compute(1, 2)\n" * 4000

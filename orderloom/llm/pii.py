@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from orderloom.llm.pii_check import NO_NAME, settle
+from orderloom.llm.pii_check import settle
 from orderloom.llm.pii_examples import TYPES, Maker
 from orderloom.llm.tagger import PAD, Tagger, char_classes, spans
 
@@ -71,27 +71,6 @@ def words_of(letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def packed_words(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words of up to 8 ASCII letters, in small ones, as a number each; 0 for others."""
-    out = np.zeros(len(a), np.uint64)
-    fits = b - a <= 8
-    for k in range(8):
-        c = codes[np.minimum(a + k, len(codes) - 1)]
-        on = a + k < b
-        fits &= ~on | (c < 128)
-        out = np.where(on, out * np.uint64(256) + (c | 32).astype(np.uint64), out)
-    return np.where(fits, out, np.uint64(0))
-
-
-def _packed(words) -> np.ndarray:
-    return np.array([int.from_bytes(w.encode(), "big") for w in words if len(w) <= 8], np.uint64)
-
-
-# No name that the exact check accepts has one of these words; no street's own name is one of the latter.
-_NO_NAME = _packed(sorted(NO_NAME))
-_NO_PLACE = _packed(sorted(NO_NAME - {"north", "south", "east", "west", "court", "key", "end", "grace", "rolling", "public"}))
-
-
 def encode_example(text: str, found, parts: dict[str, int], length: int):
     codes = code_points(text)
     chars = np.zeros(length, np.uint8)
@@ -142,16 +121,14 @@ def stretches(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = words_of(letter)
     if len(a):
         capital = upper[a] & ~digit[np.maximum(a - 1, 0)]
-        packed = packed_words(codes, a, b)
         # capitalised words with nothing but a blank, or a comma or point and a blank, between them
-        person = capital & ~np.isin(packed, _NO_NAME)
         gap = a[1:] - b[:-1]
         blank = codes[a[1:] - 1] == 32
         mark = np.isin(codes[np.minimum(b[:-1], n - 1)], (44, 46))
-        pair = person[1:] & person[:-1] & blank & ((gap == 1) | ((gap == 2) & mark))
+        pair = capital[1:] & capital[:-1] & blank & ((gap == 1) | ((gap == 2) & mark))
         at += [a[:-1][pair], a[1:][pair]]
         # a capitalised word soon after a number, or a number just after it, with no sign between them
-        place = capital & (b - a >= 2) & ~np.isin(packed, _NO_PLACE)
+        place = capital & (b - a >= 2)
         ca, cb = a[place], b[place]
         here = np.arange(n)
         sign = ~(letter | digit | np.isin(codes, (32, 39, 44, 45, 46)))
@@ -247,7 +224,7 @@ def found_in(texts: list[str], tagger: Tagger, parts: dict[str, int]) -> list[li
         for s, e, kind in marked("\n".join(texts[i:j]), tagger, parts):
             k = int(np.searchsorted(offsets, s, "right")) - 1
             base = int(offsets[k])
-            exact = settle(texts[i + k], s - base, min(e - base, len(texts[i + k])), TYPES[kind])
+            exact = settle(texts[i + k], s - base, min(e - base, len(texts[i + k])), TYPES[kind], parts)
             if exact:
                 out[i + k].append(exact)
         i = j

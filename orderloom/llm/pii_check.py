@@ -9,14 +9,30 @@ ROLE_WORDS = frozenset(
     "notifications office ops orders payments postmaster press privacy releases reply robot root runner sales security service "
     "services staff support svc sysadmin system team test tickets web webmaster www".split()
 )
-# Capitalised words that are no part of a person's name.
+# Capitalised words that are no part of a person's name. Ordinary words that are also given or family names
+# (Grace, Lane, West, Street, Key, Do, Begin, Null) are not listed: what they stand beside decides.
 NO_NAME = frozenset(
     "copyright licensed license licence author authors maintainer contact owner reviewed written questions todo fixme systems labs group "
-    "tools software foundation partners terms works inc ltd llc gmbh corp company university institute street road lane avenue court ct "
-    "st via calle rue apt unit north south east west select from where group by having order is not null and or join count sum insert "
-    "into values limit as on set update delete create table the this that these part code error begin end key public private adaptive "
-    "rolling grace period mr mrs ms dr do edit generated open".split()
+    "tools software foundation partners terms works inc ltd llc gmbh corp company university institute avenue ct "
+    "calle apt unit select from where having order is not and join count insert "
+    "into values limit as on update delete create table the this that these code error private adaptive "
+    "period mr mrs ms dr generated".split()
 )
+# Pairs of capitalised words that look like a name of such a word.
+NO_PAIR = frozenset(
+    tuple(x.split("_"))
+    for x in (
+        "grace_period grace_time grace_window grace_interval rolling_window rolling_mean rolling_average rolling_sum rolling_update rolling_release "
+        "rolling_restart rolling_upgrade rolling_total rolling_median public_key primary_key foreign_key secret_key access_key api_key partition_key sort_key "
+        "session_key signing_key host_key ssh_key cache_key hash_key unique_key shared_key begin_key end_key begin_public end_public key_value "
+        "public_domain public_api public_license public_licence open_source group_by order_by sort_by partition_by begin_end null_or or_null part_of end_of "
+        "open_group open_software set_null on_set do_while or_begin"
+    ).split()
+)
+# What a street is called by; after a house number it ends no name.
+WAYS = frozenset("street st road rd lane ln avenue ave court ct drive dr boulevard blvd square sq place pl terrace way close crescent highway parkway".split())
+# Statements in capitals have one of these words, two names in capitals have none.
+STATEMENT = frozenset("by or sum null set begin end key do into".split())
 
 _L = r"[\p{L}\p{M}]"
 _NAME = rf"(?:\p{{Lu}}{_L}+(?:[’']\p{{Lu}}{_L}+)?(?:-\p{{Lu}}{_L}+)*)"
@@ -75,13 +91,18 @@ def _phone(text: str, m) -> bool:
     return bool(regex.fullmatch(r"0\d{1,4}[ /-]\d{3,9}(?:[ -]\d{2,6}){0,3}|\d{3}[.-]\d{3}[.-]\d{4}|\d{3} \d{3} \d{4}", s))
 
 
-def _name(text: str, m) -> bool:
+def _name(text: str, m, known=()) -> bool:
     words = regex.findall(rf"{_L}+", m.group())
     long = [w for w in words if len(w) > 1]
-    if any(w.lower() in NO_NAME for w in long):
+    low = [w.lower() for w in long]
+    if any(w in NO_NAME and w not in known for w in low) or any(x in NO_PAIR for x in zip(low, low[1:])):
         return False
     if sum(w.isupper() for w in long) not in (0, len(long)):
         return False
+    if len(low) > 1 and all(w in STATEMENT for w in low) and m.group().isupper():
+        return False
+    if low and low[-1] in WAYS and regex.search(r"\d[A-Za-z]?,? (?:\p{Lu}\w*\.? ){0,2}$", text[max(0, m.start() - 40) : m.start()]):
+        return False
     return bool(long)
 
 
@@ -89,10 +110,11 @@ CHECKS = {"email": _email, "phone": _phone, "name": _name}
 ROOM = {"email": 24, "phone": 8, "national_id": 6, "street": 16, "name": 16}
 
 
-def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
+def settle(text: str, start: int, end: int, kind: str, known=()) -> tuple[int, int, str] | None:
     """The exact span of what was marked, or None: the match of the type's shape, or else of another's, that covers most of it.
 
-    A shape may reach a few characters beyond the mark, as the tagger's bounds need not be exact.
+    A shape may reach a few characters beyond the mark, as the tagger's bounds need not be exact. Words known as name
+    parts, in small letters, are never taken for other words.
     """
     best = None
     for k in (kind, *[x for x in SHAPES if x != kind]):
@@ -102,7 +124,7 @@ def settle(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] |
             shared = min(end, m.end()) - max(start, m.start())
             if shared * 2 < min(end - start, m.end() - m.start()) or shared <= 0:
                 continue
-            if k in CHECKS and not CHECKS[k](text, m):
+            if k in CHECKS and not (CHECKS[k](text, m, known) if k == "name" else CHECKS[k](text, m)):
                 continue
             rank = (shared / max(end - start, m.end() - m.start()), -m.start())
             if best is None or rank > best[0]:

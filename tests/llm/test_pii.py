@@ -94,6 +94,42 @@ def test_phone_after_a_sign(text, marked, value):
     assert (got and text[got[0] : got[1]]) == value
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("by Grace Narvigard;", "Grace Narvigard"),
+        ("by Solvovec, Grace;", "Solvovec, Grace"),
+        ("by Grace M. Narvholmer;", "Grace M. Narvholmer"),
+        ("by GRACE OSTWICK;", "GRACE OSTWICK"),
+        ("by Nora West;", "Nora West"),
+        ("by Elsa Lane;", "Elsa Lane"),
+        ("by Peter North;", "Peter North"),
+        ("by Linh Do;", "Linh Do"),
+        ("by Della Street;", "Della Street"),
+        ("by Edit Ostwick;", "Edit Ostwick"),
+        ("by Grace Period;", None),
+        ("by Rolling Window;", None),
+        ("by Public Key;", None),
+        ("by GROUP BY;", None),
+        ("at 12 Kestrane Lane;", None),
+    ],
+)
+def test_words_that_are_names(text, value):
+    marked = text[3:-1] if text.startswith("by") else "Kestrane Lane"
+    at = text.index(marked)
+    got = settle(text, at, at + len(marked), "name")
+    assert (got and got[2] == "name" and text[got[0] : got[1]] or None) == value
+    if value:
+        starts, ends = pii.stretches(pii.code_points(text))
+        assert any(s <= at and at + len(marked) <= e for s, e in zip(starts, ends))
+
+
+def test_known_parts_are_names():
+    text = "by Period Ostwick;"
+    assert settle(text, 3, 17, "name") is None
+    assert settle(text, 3, 17, "name", {"period": 1}) == (3, 17, "name")
+
+
 def test_documents(spark, tagger):
     line = "# Author: Anna Ostansky <anna.ostansky@mail.example>\n"
     filler = "x = compute(1, 2)\n" * 4000

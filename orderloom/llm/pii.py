@@ -1,8 +1,8 @@
 """Personal data in texts: found by the tagger, checked exactly, replaced by typed placeholders.
 
 A cheap pass over whole texts marks the stretches that can hold any of the five
-types at all: an @ or a written-out at, six digits close together, two capitalised
-words side by side, a number beside a capitalised word. These stretches, with
+types at all: an @ or a written-out at, six digits close together or four after capitals,
+two capitalised words side by side or with particles between, a number beside a capitalised word. These stretches, with
 what stands around them on the line, are cut into overlapping windows; the tagger
 decodes the windows, the spans of all windows of a text are reconciled, and each
 is checked for its exact shape.
@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from orderloom.llm.pii_check import settle
+from orderloom.llm.pii_check import PARTICLES, settle
 from orderloom.llm.pii_examples import TYPES, Maker
 from orderloom.llm.tagger import PAD, Tagger, char_classes, spans
 
 HIDDEN = 16
-STEPS = 1500
+STEPS = 2000
 BATCH = 32
 POOL = 12_000  # labelled windows it is trained on
 LENGTH = 112  # of training windows
@@ -71,6 +71,18 @@ def words_of(letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+_PARTICLE_KEYS = np.array([int.from_bytes(w.encode(), "big") for w in sorted(PARTICLES)], np.uint64)
+
+
+def _is_particle(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Is the word a particle of family names? These are at most five ASCII letters."""
+    out = np.zeros(len(a), np.uint64)
+    for k in range(5):
+        c = codes[np.minimum(a + k, len(codes) - 1)]
+        out = np.where(a + k < b, out * np.uint64(256) + np.minimum(c, 255).astype(np.uint64), out)
+    return np.isin(out, _PARTICLE_KEYS)
+
+
 def encode_example(text: str, found, parts: dict[str, int], length: int):
     codes = code_points(text)
     chars = np.zeros(length, np.uint8)
@@ -118,6 +130,9 @@ def stretches(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     upto = np.concatenate([[0], np.cumsum(digit)])
     ahead = upto[np.minimum(np.arange(n) + 12, n)] - upto[:-1]
     at.append(np.flatnonzero(digit & (ahead >= 6)))
+    # four digits in a row after two capitals, as in mixed numbers
+    four = upto[np.minimum(np.arange(n) + 4, n)] - upto[:-1] == 4
+    at.append(np.flatnonzero(digit & four & np.roll(upper, 1) & np.roll(upper, 2)))
     a, b = words_of(letter)
     if len(a):
         capital = upper[a] & ~digit[np.maximum(a - 1, 0)]
@@ -127,6 +142,17 @@ def stretches(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mark = np.isin(codes[np.minimum(b[:-1], n - 1)], (44, 46))
         pair = capital[1:] & capital[:-1] & blank & ((gap == 1) | ((gap == 2) & mark))
         at += [a[:-1][pair], a[1:][pair]]
+        # or one or two short words in small letters
+        small = ~upper[a] & (b - a <= 5)
+        alone = blank & (gap == 1)
+        for k in (2, 3):
+            if len(a) > k:
+                far = capital[k:] & capital[:-k]
+                for i in range(k):
+                    far = far & alone[i : len(alone) - k + 1 + i]
+                for i in range(1, k):
+                    far = far & small[i : len(small) - k + i] & _is_particle(codes, a[i : len(a) - k + i], b[i : len(b) - k + i])
+                at += [a[:-k][far], a[k:][far]]
         # a capitalised word soon after a number, or a number just after it, with no sign between them
         place = capital & (b - a >= 2)
         ca, cb = a[place], b[place]

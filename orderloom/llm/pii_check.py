@@ -1,4 +1,4 @@
-"""The exact check of what the tagger marked: its shape by type, its exact bounds, and known look-alikes."""
+"""The exact check of what the tagger marked: its bounds by the shape of its type where that is known, and known look-alikes."""
 
 import regex
 
@@ -30,16 +30,21 @@ NO_PAIR = frozenset(
     ).split()
 )
 # What a street is called by; after a house number it ends no name.
-WAYS = frozenset("street st road rd lane ln avenue ave court ct drive dr boulevard blvd square sq place pl terrace way close crescent highway parkway".split())
+WAYS = frozenset(
+    "street st road rd lane ln avenue ave court ct drive dr boulevard blvd square sq place pl terrace way close crescent highway parkway grove gardens mews row walk rise quay circle loop trail hill park green".split()
+)
 # Statements in capitals have one of these words, two names in capitals have none.
 STATEMENT = frozenset("by or sum null set begin end key do into".split())
 
+# Particles of family names.
+PARTICLES = frozenset("van von der den de del della dei di da do dos das du la le las los ter ten zu zur zum al el bin ibn ben af av y e".split())
+
 _L = r"[\p{L}\p{M}]"
 _NAME = rf"(?:\p{{Lu}}{_L}+(?:[’']\p{{Lu}}{_L}+)?(?:-\p{{Lu}}{_L}+)*)"
 _INIT = r"(?:\p{Lu}\.[ ]?)"
 _CAP = rf"\p{{Lu}}[\p{{L}}'’-]*"
 _DOMAIN_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-_WAY = r"(?:Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Court|Ct\b\.?|Drive|Dr\b\.?|Boulevard|Blvd\b\.?|Square|Sq\b\.?|Place|Pl\b\.?|Terrace|Way|Close|Crescent|Highway|Parkway)"
+_WAY = r"(?:Street|St\b\.?|Road|Rd\b\.?|Lane|Ln\b\.?|Avenue|Ave\b\.?|Court|Ct\b\.?|Drive|Dr\b\.?|Boulevard|Blvd\b\.?|Square|Sq\b\.?|Place|Pl\b\.?|Terrace|Way|Close|Crescent|Highway|Parkway|Grove|Gardens|Gdns|Mews|Row|Walk|Rise|Quay|Circle|Loop|Trail|Hill|Park|Green)"
 _UNIT = r"(?:,? (?:Apt|Unit|Flat|Suite|Ste|Apartment|No)\b\.? ?#?\d+[A-Za-z]?)?"
 # No colon of a time, port or hexadecimal address, and no slash but that of tel:// or one after a label such as "Fax/".
 _BEFORE_PHONE = (
@@ -101,7 +106,8 @@ def _name(text: str, m, known=()) -> bool:
         return False
     if len(low) > 1 and all(w in STATEMENT for w in low) and m.group().isupper():
         return False
-    if low and low[-1] in WAYS and regex.search(r"\d[A-Za-z]?,? (?:\p{Lu}\w*\.? ){0,2}$", text[max(0, m.start() - 40) : m.start()]):
+    house = r"(?<!\d)(?!(?:19|20)\d\d )\d{1,5}[A-Za-z]?,? (?:\p{Lu}\w*\.? ){0,2}$"
+    if low and low[-1] in WAYS and low[0] not in known and regex.search(house, text[max(0, m.start() - 40) : m.start()]):
         return False
     return bool(long)
 
@@ -110,11 +116,116 @@ CHECKS = {"email": _email, "phone": _phone, "name": _name}
 ROOM = {"email": 24, "phone": 8, "national_id": 6, "street": 16, "name": 16}
 
 
+# What follows decides over marks that none of the shapes above fits: they are kept unless they are a known look-alike.
+_PARTICLE = "(?:" + "|".join(sorted(PARTICLES)) + ")"
+_LONG_NAME = regex.compile(
+    rf"{_NAME}(?: (?:{_INIT}|{_NAME}))*(?: {_PARTICLE}){{0,3}} (?:[dlDL][’'])?{_NAME}(?: (?:{_PARTICLE} )?{_NAME})?|(?:{_PARTICLE} ){{0,3}}{_NAME}(?: {_NAME})?, {_NAME}(?: {_NAME}| \p{{Lu}}\.)*(?: {_PARTICLE}){{0,3}}"
+)
+_IN_STREET = regex.compile(r"\b(?:Via|Viale|Vicolo|Piazza|Corso|Largo|Calle|Avenida|Paseo|Plaza|Rua|Rue)\b")
+# Addresses, dates, sequences in fours, decimals, hexadecimal and unique ids, securities and accounts.
+_NUMBER_LIKE = regex.compile(
+    r"\d{1,3}(?:\.\d{1,3}){3}|(?:19|20)\d\d[-./]\d{1,2}[-./]\d{1,2}.*|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d\d.*|\d{4}(?:[ -]\d{4}){2,4}|\d+[.,]\d+|\d{1,3}(?:[.,]\d{3})+(?:[.,]\d\d)?"
+    r"|\d{1,2}\.\d{1,3}\.\d{1,4}|(?=.*[a-fA-F])[0-9a-fA-F]{16,}|[0-9a-fA-F]{8}-.*|[A-Z]{2}[A-Z0-9]{9}\d|[A-Z]{2}\d{2} ?[A-Z0-9]{4}(?: ?[A-Z0-9]{2,4}){2,7}|(?:19|20)\d\d[ -](?:19|20)\d\d"
+)
+_OTHER_NUMBER = regex.compile(
+    r"\b(?:part|seq|sequence|build|order|invoice|batch|version|rev|revision|sha1?|epoch\w*|instrument|isin|release|serial|ticket|issue|port|amount|total|sum|price|commit|token|key|window|error|code)"
+    r"\b(?: ?(?:no\.?|number|id))?[ :=#\"']{0,4}$",
+    regex.I,
+)
+_PHONE_LABEL = regex.compile(r"(?:phone|tel|mobile|mob|cell|call|ring|fax|contact)\b[^\d\n]{0,25}$", regex.I)
+_ID_LABEL = regex.compile(r"(?:ssn|tax|fiscal|national|passport|holder|personal|identity|citizen|insurance|nif|nie|dni|cpf|pesel|bsn|pan|tin|cnp|(?<![a-z])id|document no)\w*[^\d\n]{0,12}$", regex.I)
+_COUNTED = regex.compile(r" ?(?:%|rows?|bytes?|[kKMGT]i?B|ms|ns|us|s|px|times|items|records|of)\b")
+_NO_PLACE = frozenset(
+    "table section figure chapter page version part step level line release issue window python java rule phase stage day week month year january february "
+    "march april may june july august september october november december".split()
+)
+
+
+def _bounds(text: str, start: int, end: int) -> tuple[int, int]:
+    """The mark, made up to whole words and without blanks and marks around them."""
+    while 0 < start < len(text) and text[start - 1].isalnum() and text[start].isalnum():
+        start -= 1
+    while 0 < end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
+        end += 1
+    while start < end and not text[start].isalnum() and text[start] not in "+(":
+        start += 1
+    while start < end and not text[end - 1].isalnum():
+        end -= 1
+    return start, end
+
+
+def _has_keyword(v: str) -> bool:
+    """Is a word in capitals one of SQL's, as in 828 AND task?"""
+    return any(w.lower() in NO_NAME or w.lower() in STATEMENT for w in regex.findall(r"\b\p{Lu}{2,}\b", v))
+
+
+def _number(text: str, s: int, e: int) -> bool:
+    """May a number stand here: nothing joined to it, and not one of the known other numbers?"""
+    before, after = text[max(0, s - 40) : s], text[e : e + 8]
+    if regex.search(r"[\w.+$€£#@\\-]$|\d[\dA-Fa-f]{0,4}:$|\w/$|://\S*$", before) or regex.match(r"\w|[./:@-]\w|%", after):
+        return False
+    return not (_NUMBER_LIKE.fullmatch(text[s:e]) or _OTHER_NUMBER.search(before) or _COUNTED.match(after))
+
+
+def _other_phone(text: str, s: int, e: int) -> bool:
+    v = text[s:e]
+    n = sum(c.isdigit() for c in v)
+    label = _PHONE_LABEL.search(text[max(0, s - 40) : s])
+    if not (7 if label else 8) <= n <= 15 or len(set(v)) < 4 or not regex.fullmatch(r"\+?[\d ()./-]+\d", v) or not _number(text, s, e):
+        return False
+    if v.isdigit() and not label:
+        return v[0] == "0" and 9 <= n <= 11
+    return not ("." in v and " " in v) and all(len(x) > 1 for x in v.split("."))
+
+
+def _other_id(text: str, s: int, e: int) -> bool:
+    v = text[s:e]
+    plain = regex.sub(r"[ ./-]", "", v)
+    n = sum(c.isdigit() for c in plain)
+    if not (plain.isascii() and plain.isalnum() and 7 <= len(plain) <= 20 and n >= 4 and len(plain) - n <= 10) or not _number(text, s, e):
+        return False
+    if _has_keyword(v) or regex.search(r"\p{Ll}{2}", v) or regex.search(r"\p{Ll}", v) and regex.search(r"\p{Lu}", v) or regex.search(r"\p{L}{7}|[ ./-]{2}", v):
+        return False
+    return not v.isdigit() or bool(_ID_LABEL.search(text[max(0, s - 40) : s]))
+
+
+def _other_street(text: str, s: int, e: int) -> bool:
+    v = text[s:e]
+    if not 6 <= len(v) <= 70 or not regex.fullmatch(r"[\p{L}\p{M}\d ,.'’/#-]+", v) or not regex.search(r"(?<!\d)\d{1,5}(?!\d)", v):
+        return False
+    words = [w.lower() for w in regex.findall(rf"{_L}{{2,}}", v)]
+    if regex.search(r",(?: \p{Ll}+)+$|\d\.|\p{L}\d+\p{L}|\p{L}{25}", v) or _has_keyword(v):
+        return False
+    if not regex.search(rf"\p{{Lu}}{_L}{{2}}", v) or any(w in _NO_PLACE for w in words) or regex.search(r"\d\.\d", v):
+        return False
+    return not regex.search(r"[\w.@$-]$", text[max(0, s - 1) : s])
+
+
+OTHERS = {"phone": _other_phone, "national_id": _other_id, "street": _other_street}
+
+
 def settle(text: str, start: int, end: int, kind: str, known=()) -> tuple[int, int, str] | None:
-    """The exact span of what was marked, or None: the match of the type's shape, or else of another's, that covers most of it.
+    """The exact span of what was marked, or None where it is a known look-alike.
+
+    That is the match of the type's shape, or else of another's, that covers most of the mark; a name of more parts, and
+    a phone, number or street of no known shape, is taken as marked, made up to whole words. Words known as name parts,
+    in small letters, are never taken for other words.
+    """
+    s, e = _bounds(text, start, end)
+    if kind == "name":
+        m = _LONG_NAME.fullmatch(text, s, e)
+        if m and not _IN_STREET.search(m.group()) and _name(text, m, known):
+            return s, e, kind
+    got = _shaped(text, start, end, kind, known)
+    if not got and s < e and kind in OTHERS and OTHERS[kind](text, s, e):
+        return s, e, kind
+    return got
+
+
+def _shaped(text: str, start: int, end: int, kind: str, known=()) -> tuple[int, int, str] | None:
+    """The match of the type's shape, or else of another's, that covers most of what was marked, or None.
 
-    A shape may reach a few characters beyond the mark, as the tagger's bounds need not be exact. Words known as name
-    parts, in small letters, are never taken for other words.
+    A shape may reach a few characters beyond the mark, as the tagger's bounds need not be exact.
     """
     best = None
     for k in (kind, *[x for x in SHAPES if x != kind]):

@@ -26,6 +26,7 @@ ENDS = "wick varo ansky arone enkov ellin igard mere ovec etto stadt holmer son
 PLACES = "Kestrane Aldersey Hesker Lomford Morvane Velmoor Fallowgate Brackenly Dunmarrow Oldenby Tarnwick Quillmere Ashgrove Station Park".split()
 COMPANIES = "Brintal Fernhill Haskel Kelmor Orvane Lomvar Tarnlab Quillsoft".split()
 KINDS = "Systems Labs Group Tools Software Foundation Partners Open Terms Works".split()
+PARTICLES = ("van der", "van", "von", "de la", "de", "del", "della", "di", "da", "dos", "le", "ter", "van den", "zu", "al", "af")
 ROLES = "security abuse billing releases ci-runner build-bot git noreply no-reply support info admin sales ops root help press team".split()
 LEADS = ("// ", "# ", "-- ", "/* ", " * ", "", "<!-- ", "//   ", "#          ", '    ', "\t", ";// ", "- ")
 KEYWORDS = "SELECT FROM WHERE GROUP BY HAVING ORDER IS NOT NULL AND OR JOIN COUNT SUM INSERT INTO VALUES LIMIT".split()
@@ -65,6 +66,11 @@ class Maker:
         r, g, f = self.r, self.r.choice(self.given), self.surname()
         x = r.random()
         i = r.choice(string.ascii_uppercase)
+        y = r.random()
+        if y < 0.05:
+            return g, f, f"{g} {r.choice(PARTICLES)} {f}"
+        if y < 0.1:
+            return g, f, self.pick(f"{g} {r.choice(self.given)} {f}", f"{g} {f} {self.surname()}")
         if x < 0.5:
             s = f"{g} {f}"
         elif x < 0.64:
@@ -111,7 +117,34 @@ class Maker:
             f"+1{self.pick('212', '305', '415', '617')}555{d(4)}", f"({d(3)}) 555-{d(4)}", f"{d(3)}.555.{d(4)}", f"+1 {d(3)}-555-{d(4)}",
             f"+44 7700 900{d(3)}", f"+44 (0)1632 960{d(3)}", f"01632 960{d(3)}", f"+33 1 99 00 {d(2)} {d(2)}", f"+49 30 23125 {d(3)}",
             f"030/23125{d(3)}", f"(02) 5550 {d(4)}", f"+39 06 {d(4)} {d(4)}", f"+34 {d(3)} {d(2)} {d(2)} {d(2)}",
-            f"0{d(3)} {d(3)} {d(4)}", f"+{d(2)}{d(9)}",
+            f"0{d(3)} {d(3)} {d(4)}", f"+{d(2)}{d(9)}", self.abroad(),
+        )
+
+    def abroad(self) -> str:
+        """Phones of more countries, mostly as written at home."""
+        d = self.digits
+        return self.pick(
+            f"0{self.pick('1', '2', '4', '6')} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)}.{d(2)}.{d(2)}.{d(2)}.{d(2)}", f"1-800-555-0{d(3)}", f"1 {d(3)} 555 {d(4)}",
+            f"6{d(2)} {d(3)} {d(3)}", f"9{d(2)} {d(2)} {d(2)} {d(2)}", f"+91 {d(5)} {d(5)}", f"+61 2 5550 {d(4)}", f"+55 11 9{d(4)}-{d(4)}", f"(11) {d(4)}-{d(4)}",
+            f"+81 3-{d(4)}-{d(4)}", f"0{d(2)}-{d(4)}-{d(4)}", f"+46 8 {d(3)} {d(2)} {d(2)}", f"0{d(2)}-{d(3)} {d(2)} {d(2)}",
+        )
+
+    def id_abroad(self) -> str:
+        d, r = self.digits, self.r
+        c = lambda n: "".join(r.choice(string.ascii_uppercase) for _ in range(n))
+        m, t = f"{r.randint(1, 12):02d}", f"{r.randint(1, 28):02d}"
+        return self.pick(
+            f"{d(8)}{c(1)}", f"{r.choice('XYZ')}{d(7)}{c(1)}", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}", f"{d(2)}{m}{t}-{d(4)}", f"{d(2)}{m}{t}-{d(4)}",
+            f"{r.choice('12')} {d(2)} {m} {d(2)} {d(3)} {d(3)} {d(2)}", f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{c(5)}{d(4)}{c(1)}", f"{c(5)}{d(4)}{c(1)}",
+            f"756.{d(4)}.{d(4)}.{d(2)}", f"{d(2)}.{m}.{t}-{d(3)}.{d(2)}", f"{t}{m}{d(2)}-{d(3)}{c(1)}", f"{d(7)}{c(1)}",
+        )
+
+    def street_abroad(self) -> str:
+        r, n, p = self.r, str(self.r.randint(1, 250)), self.r.choice(PLACES) if self.r.random() < 0.6 else self.surname()
+        return self.pick(
+            f"{n} {p} {r.choice(['Grove', 'Gardens', 'Hill', 'Row', 'Mews', 'Walk', 'Park', 'Rise', 'Quay', 'Green', 'Circle', 'Loop', 'Trail'])}",
+            f"Rua {p}, {n}", f"Rua da {p} {n}", f"Avenida {p} {n}", f"{p}gatan {n}", f"{p}gracht {n}", f"{p}straat {n}", f"{p}vej {n}", f"ulica {p} {n}", f"ul. {p} {n}",
+            f"Plaza {p} {n}", f"Praça {p} {n}", f"Am {p} {n}", f"{n} place {p}", f"{n}, chemin de {p}",
         )
 
     def national_id(self, g: str, f: str) -> str:
@@ -120,7 +153,7 @@ class Maker:
         long = f"{letters(6)}{d(2)}{r.choice('ABCDEHLMPRST')}{d(2)}{r.choice(string.ascii_uppercase)}{d(3)}{r.choice(string.ascii_uppercase)}"
         return self.pick(
             f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"QQ{d(6)}{r.choice('ABCD')}", f"{r.choice(['QQ', 'AB', 'JK'])} {d(2)} {d(2)} {d(2)} {r.choice('ABCD')}",
-            long, long, long.lower(),
+            long, long, long.lower(), self.id_abroad(), self.id_abroad(),
         )
 
     def street(self) -> str:
@@ -129,6 +162,7 @@ class Maker:
         return self.pick(
             f"{n}{r.choice(['', '', 'a', 'b'])} {p} Street{flat}", f"{n} {p} Road", f"{n} {p} Lane", f"{n} {p} St.", f"{n} {p} Ct{flat}",
             f"{n} North {p} Avenue", f"{n} rue {p}", f"Via {p} {n}", f"Via {p}, {n}", f"Calle {p} {n}", f"{p}straße {n}", f"{n} {p} Drive",
+            self.street_abroad(),
         )
 
     def positive(self) -> Pieces:
@@ -160,6 +194,8 @@ class Maker:
             [(f"insert into {w} values ({self.digits(3)}, '", None), n, ("', '", None), e, ("', '", None), self.pick(i, p, a), ("');", None)],
             [(f"{w}: ", None), self.pick(n, e, p, i, a)],
             [("contact: ", None), n, ("\n#          ", None), a, ("\n#          ", None), p],
+            [('", "phone": "', None), p, ('", "address": "', None), a, ('"}', None)], [(w + '": "', None), a, ('"}', None)],
+            [a, (self.pick("\n//          ", "\n#          ", "\n//   "), None), p], [("test box to:" + self.pick("\n//   ", "\n#   ", "\n--   "), None), n, (self.pick("\n//   ", "\n#   "), None), a],
             [("mail: ", None), e], [("address: ", None), a], [("tel ", None), p],
         ]
         return frames[self.r.randrange(len(frames))]
@@ -193,6 +229,8 @@ class Maker:
             f"func {W()}{W()}({w()} []int, {w()}N int) (int, error) {{", f"  {w()}: [{d(2)}, {d(2)}, {d(2)}]  # {o}", f"- keep {d(2)} {w()}s\n\n## {W()} the {w()}",
             f'<section id="{w()}-{w()}"><h2>{W()} {w()}</h2><span data-n="{d(4)}">{d(2)}</span>', f"imported from {w()} rev {d(4)}", f"release {d(1)}.{d(2)}.{d(4)} of 20{d(2)}-0{d(1)}-1{d(1)}",
             f"x = {d(3)}.{d(6)}; y = -{d(2)}.{d(8)}e-0{d(1)}", f"{W()} Handler, {W()} Queue", f"Do Not Use {W()} {W()} here", f"amount {d(3)},{d(3)}.{d(2)} of {d(9)}",
+            f"batch {d(6)}-{d(4)} of {w()}", f"order {c.upper()[:5]}{d(4)}X shipped", f"{d(1)} {d(3)} {d(3)} {d(3)} rows in {w()}", f"ISIN US{d(10)}, IT000{d(7)}",
+            f"{d(3)}.{d(3)}.{d(3)},{d(2)} total", f"rev {d(8)}{r.choice('abc')}", f"Step {d(1)} of {d(2)}, {W()} {d(2)}", f"serial {d(3)}.{d(4)}.{d(4)}.{d(2)}",
             f"{d(10)},{d(10)},{d(8)}", f"{W()} | {W()} | {d(6)} | {d(3)}", f"This {W()} Works As {W()}", f"Table {d(1)}, Section {d(2)}, Figure {d(1)}",
         ]
         if r.random() < 0.25:  # capitalised words side by side that are no person

@@ -130,6 +130,50 @@ def test_known_parts_are_names():
     assert settle(text, 3, 17, "name", {"period": 1}) == (3, 17, "name")
 
 
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        ('x = "12345678Z"', "12345678Z", "national_id"),
+        ('x = "123.456.789-09"', "123.456.789-09", "national_id"),
+        ('x = "850709-9805"', "850709-9805", "national_id"),
+        ('x = "1 85 05 78 006 084 36"', "1 85 05 78 006 084 36", "national_id"),
+        ('x = "12 345 678 901"', "12 345 678 901", "national_id"),
+        ('x = "ABCDE1234F"', "ABCDE1234F", "national_id"),
+        ("tel 01 23 45 67 89,", "01 23 45 67 89", "phone"),
+        ("tel 1-800-555-0199,", "1-800-555-0199", "phone"),
+        ("tel 612 345 678,", "612 345 678", "phone"),
+        ("at Keizersgracht 123,", "Keizersgracht 123", "street"),
+        ("at 12 Oak Grove,", "12 Oak Grove", "street"),
+        ("at Rua Augusta, 45;", "Rua Augusta, 45", "street"),
+        ("by Anna van der Berg;", "Anna van der Berg", "name"),
+        ("by Mary Jane Watson;", "Mary Jane Watson", "name"),
+    ],
+)
+def test_marks_of_no_known_shape(text, value, kind):
+    at = text.index(value)
+    assert settle(text, at, at + len(value), kind) == (at, at + len(value), kind)
+    starts, ends = pii.stretches(pii.code_points(text))
+    assert any(s <= at and at + len(value) <= e for s, e in zip(starts, ends))
+
+
+@pytest.mark.parametrize(
+    ("text", "marked", "kind"),
+    [
+        ("batch 850709-9805 of rows", "850709-9805", "national_id"),
+        ("window 2024-01-15 to", "2024-01-15", "phone"),
+        ("ISIN US0378331005 is", "US0378331005", "national_id"),
+        ("where x > 828 AND task", "828 AND task", "street"),
+        ("where x > 3150 AND y", "3150 AND", "national_id"),
+        ("Table 12, Section 3", "Table 12, Section 3", "street"),
+        ("1 234 567 890 rows", "1 234 567 890", "phone"),
+        ("Bearer MMx1kPr3x4ddlKh1d4 is", "Bearer MMx1kPr3x4ddlKh1d4", "street"),
+    ],
+)
+def test_look_alikes_of_no_known_shape(text, marked, kind):
+    at = text.index(marked)
+    assert settle(text, at, at + len(marked), kind) is None
+
+
 def test_documents(spark, tagger):
     line = "# Author: Anna Ostansky <anna.ostansky@mail.example>\n"
     filler = "x = compute(1, 2)\n" * 4000

@@ -149,12 +149,12 @@ def p4_found(spark, sf_dir):
     return periods_and_gaps(rows, ["isin"], "start_us", "end_us").filter((F.col("kind") == "period") | same_day)
 
 
-def _trailing(spark, sf_dir):
+def _trailing(spark, sf_dir, whole=False):
     rows = metaorders(spark, sf_dir, "isin", "trade_date", "start_us", "daily_vol")
     start_day = F.date_from_unix_date(F.expr(f"start_us div {DAY_US}").cast("int"))
     rows = rows.withColumn("day", F.coalesce("trade_date", start_day))
     daily = {"metaorders": F.count("*"), "daily_vol": F.max(finite(F.col("daily_vol")))}
-    return trailing_totals(rows, ["isin"], "day", daily)
+    return trailing_totals(rows, ["isin"], "day", daily, whole=whole)
 
 
 TRAILING_SQL = f"""
@@ -195,6 +195,42 @@ def p5_found(spark, sf_dir):
     + ", ".join(f"w{n} as (partition by isin order by day rows between {n - 1} preceding and current row)" for n in (7, 30))
 )
 def p5_trailing(spark, sf_dir):
-    """7-day and 30-day totals and averages of each ISIN's metaorders and daily volatility."""
+    """7-day and 30-day totals and averages of each ISIN's metaorders and daily volatility, to six days after its last day.
+
+    p5_calendar has every calendar day."""
     out = _trailing(spark, sf_dir)
     return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+# As TRAILING_SQL, but over the product of ISINs and calendar days.
+CALENDAR_SQL = f"""
+with {METAORDERS_SQL},
+d as (select isin, coalesce(trade_date, (date '1970-01-01' + (start_us // {DAY_US})::int)::date) as day, daily_vol from mo),
+per_day as (
+  select isin, day, count(*) as metaorders, max(case when isfinite(daily_vol) then daily_vol end) as daily_vol
+  from d where isin is not null and day is not null group by all),
+bounds as (select min(day)::timestamp as f, max(day)::timestamp as t from per_day),
+calendar as (
+  select isin, unnest(generate_series(any_value(f), greatest(max(day)::timestamp + interval 29 day, any_value(t)), interval 1 day))::date as day
+  from per_day, bounds group by isin),
+dense as (
+  select isin, day, coalesce(metaorders, 0) as metaorders, coalesce(daily_vol, 0) as daily_vol
+  from calendar left join per_day using (isin, day))
+"""
+
+
+@R.add(
+    CALENDAR_SQL
+    + "select isin, day, metaorders, round(daily_vol, 9) as daily_vol"
+    + "".join(
+        f", (sum(metaorders) over w{n})::bigint as metaorders_total_{n}d, round(sum(metaorders) over w{n} / {n}, 9) as metaorders_avg_{n}d"
+        f", round(sum(daily_vol) over w{n}, 9) as daily_vol_total_{n}d, round(sum(daily_vol) over w{n} / {n}, 9) as daily_vol_avg_{n}d"
+        for n in (7, 30)
+    )
+    + " from dense window "
+    + ", ".join(f"w{n} as (partition by isin order by day rows between {n - 1} preceding and current row)" for n in (7, 30))
+)
+def p5_calendar(spark, sf_dir):
+    """As p5_trailing, for each ISIN on every calendar day of the table, and on until its 30 days have run out."""
+    out = _trailing(spark, sf_dir, whole=True)
+    return out.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])

@@ -129,3 +129,15 @@ def test_trailing_totals(spark):
     assert by["a", d(3)]["n_total_7d"] == 3 and by["a", d(3)]["x_total_7d"] == 2.0
     assert by["a", d(8)]["n"] == 0 and by["a", d(8)]["n_total_7d"] == 1 and by["a", d(9)]["x_avg_7d"] == pytest.approx(4 / 7)
     assert trailing_totals(spark.createDataFrame([], "k string, d date"), ["k"], "d", {"n": F.count("*")}).count() == 0
+
+
+def test_trailing_totals_over_the_whole_calendar(spark):
+    d = lambda n: date(2000, 1, 1) + timedelta(n)
+    df = spark.createDataFrame([("a", d(0)), ("a", d(2)), ("b", d(1)), ("c", d(60))], "k string, d date")
+    got = trailing_totals(df, ["k"], "d", {"n": F.count("*")}, (7, 30), whole=True).collect()
+    by = {(x["k"], x["d"]): x for x in got}
+    assert len(by) == len(got) and sorted(x for k, x in by if k == "a") == [d(i) for i in range(61)]
+    assert sorted(x for k, x in by if k == "c") == [d(i) for i in range(90)]
+    assert by["a", d(9)]["n_total_30d"] == 2 and by["a", d(31)]["n_total_30d"] == 1 and by["a", d(32)]["n_total_30d"] == 0
+    assert by["b", d(0)]["n_total_7d"] == 0 and by["b", d(30)]["n_total_30d"] == 1 and by["a", d(9)]["n_total_7d"] == 0
+    assert trailing_totals(df.limit(0), ["k"], "d", {"n": F.count("*")}, whole=True).count() == 0

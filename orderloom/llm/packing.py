@@ -5,7 +5,8 @@ texts are dealt at random to blocks of bounded size. In each block the multiway
 differencing method of Karmarkar and Karp splits the items into m near-equal
 windows: it keeps merging the two partial partitions of the largest imbalance, the
 largest window of one with the smallest of the other. m begins at what the total
-needs at least and rises while a window exceeds the capacity.
+needs at least; full windows are closed, the items of all others differenced anew, and m
+rises only when no window can be closed.
 """
 
 import heapq
@@ -21,7 +22,7 @@ from orderloom.llm.batches import changes, whole_groups
 from orderloom.sources.tables import written
 
 CAPACITY = 2048
-WINDOWS = 128  # aimed at in a block
+WINDOWS = 256  # aimed at in a block
 ITEMS = 4096  # aimed at in a block at most
 STRIDE = 1 << 20  # container numbers of a block
 
@@ -57,13 +58,33 @@ def difference(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The window of each item, in as few windows as differencing finds room in. No item exceeds the capacity."""
+    """The window of each item, in about as few windows as the total needs. No item exceeds the capacity.
+
+    All items are differenced over the least number of windows. Windows within the capacity and at least as full as
+    the rest must be on average are closed; the items of all others, too full or too empty, are differenced anew.
+    Only when none can be closed does the number of windows rise.
+    """
+    out = np.empty(len(sizes), np.int64)
+    rest = np.arange(len(sizes))
+    closed = 0
     m = max(1, -(-int(sizes.sum()) // capacity))
-    while True:
-        at, totals = difference(sizes, m)
+    while len(rest):
+        at, totals = difference(sizes[rest], m)
         if totals[0] <= capacity:
-            return at
-        m += 1
+            out[rest] = closed + at
+            break
+        room = (m * capacity - totals.sum()) / m
+        good = (totals <= capacity) & (capacity - totals <= room)
+        if good.any():
+            number = np.cumsum(good) - 1 + closed
+            done = good[at]
+            out[rest[done]] = number[at[done]]
+            rest = rest[~done]
+            closed += int(good.sum())
+            m -= int(good.sum())
+        else:
+            m += 1
+    return out
 
 
 def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, seed: int = 0) -> DataFrame:

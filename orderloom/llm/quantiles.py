@@ -18,8 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
-from pyspark.taskcontext import TaskContext
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from orderloom.llm.batches import changes, whole_groups
 
@@ -77,7 +76,7 @@ def _rows(keys: pd.DataFrame, gid, level, value, n, spread) -> pd.DataFrame:
     )
 
 
-def _merged(rows: pd.DataFrame, key: list[str], k: int, rng: np.random.Generator) -> pd.DataFrame:
+def _merged(rows: pd.DataFrame, key: list[str], k: int, seed: int) -> pd.DataFrame:
     """One sketch per key of sketches sorted by key."""
     new = changes(rows, key)
     own = np.cumsum(new) - 1
@@ -86,15 +85,15 @@ def _merged(rows: pd.DataFrame, key: list[str], k: int, rng: np.random.Generator
     value = np.concatenate([np.asarray(x, float) for x in rows["items"]])
     gid = np.repeat(own, [int(s.sum()) for s in sizes])
     level = np.concatenate([np.repeat(np.arange(len(s), dtype=np.int8), s) for s in sizes])
-    gid, level, value, grown = compact(gid, level, value, groups, k, rng)
+    gid, level, value, grown = compact(gid, level, value, groups, k, _coins(seed, value))
     n = np.bincount(own, weights=rows["n"].to_numpy(float), minlength=groups).astype(np.int64)
     spread = np.bincount(own, weights=rows["spread"].to_numpy(float), minlength=groups) + grown
     return _rows(rows.loc[new, key], gid, level, value, n, spread)
 
 
-def _random(seed: int) -> np.random.Generator:
-    at = TaskContext.get()
-    return np.random.default_rng([seed, at.stageId() if at else 0, at.partitionId() if at else 0])
+def _coins(seed: int, value: np.ndarray) -> np.random.Generator:
+    """Random bits for these values, the same for the same values in whatever order."""
+    return np.random.default_rng([seed, len(value), int(value.view(np.int64).sum()) & (2**63 - 1)])
 
 
 def merge(sketches: DataFrame, key: list[str], k: int = K, seed: int = 0, salts: int = 8) -> DataFrame:
@@ -108,9 +107,8 @@ def merge(sketches: DataFrame, key: list[str], k: int = K, seed: int = 0, salts:
         schema = StructType([df.schema[c] for c in by] + FIELDS)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rng = _random(seed + salted)
-            for part in whole_groups(batches, by, lambda x: _merged(x, by, k, rng), 2_000):
-                yield _merged(part, by, k, rng)
+            for part in whole_groups(batches, by, lambda x: _merged(x, by, k, seed + salted), 2_000):
+                yield _merged(part, by, k, seed + salted)
 
         return df.select(*by, "n", "spread", "items", "sizes").repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
@@ -118,30 +116,41 @@ def merge(sketches: DataFrame, key: list[str], k: int = K, seed: int = 0, salts:
     return step(step(parts, [*key, "_salt"], 1), key, 0)
 
 
-def sketch(rows: DataFrame, key: list[str], values: list[str], k: int = K, seed: int = 0) -> DataFrame:
+def sketch(rows: DataFrame, key: list[str], values: list[str], k: int = K, seed: int = 0, fields: Sequence[str] = ()) -> DataFrame:
     """A sketch per key and metric: key columns, metric, n, spread (S), items, sizes (of the levels).
 
     values are numeric columns; their values that are NULL, NaN or infinite are left out, and keys without any other
     have no sketch. Rows with a NULL in a key column are left out. Ties and repeated rows count as often as they come.
-    Key columns must not be named metric, n, spread, items or sizes. Each task makes sketches of its own rows first.
+    Where fields are given, each row counts once for each of these columns that it has, under the further key columns
+    key_field (its name) and key_value. Key columns must not be named metric, n, spread, items or sizes. Each task makes
+    sketches of its own rows first.
     """
-    taken = rows.select(*key, *[F.col(c).cast("double").alias(c) for c in values]).dropna(subset=key)
-    schema = StructType([taken.schema[c] for c in key] + [StructField("metric", IntegerType()), *FIELDS])
+    taken = rows.select(*fields, *key, *[F.col(c).cast("double").alias(c) for c in values]).dropna(subset=key or None, how="any" if key else "all")
+    by = ["key_field", "key_value", *key] if fields else list(key)
+    named = [StructField("key_field", StringType()), StructField("key_value", taken.schema[fields[0]].dataType)] if fields else []
+    schema = StructType([*named, *[taken.schema[c] for c in key], StructField("metric", IntegerType()), *FIELDS])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng, kept, n = _random(seed), [], 0
+        kept, n = [], 0
         for batch in batches:
             kept.append(batch)
             n += len(batch) * len(values)
             if n >= BUFFER:
-                yield partial(pd.concat(kept, ignore_index=True), rng)
+                yield from each(pd.concat(kept, ignore_index=True))
                 kept, n = [], 0
         if n:
-            yield partial(pd.concat(kept, ignore_index=True), rng)
-
-    def partial(part: pd.DataFrame, rng: np.random.Generator) -> pd.DataFrame:
-        grouped = part.groupby(key, sort=False)
-        own = grouped.ngroup().to_numpy()
+            yield from each(pd.concat(kept, ignore_index=True))
+
+    def each(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not fields:
+            yield partial(part)
+        for f in fields:
+            own = part[part[f].notna()]
+            if len(own):
+                yield partial(own.assign(key_field=f, key_value=own[f])[[*by, *values]].reset_index(drop=True))
+
+    def partial(part: pd.DataFrame) -> pd.DataFrame:
+        own = part.groupby(by).ngroup().to_numpy()
         heads = np.full(own.max() + 1, -1)
         heads[own[::-1]] = np.arange(len(own))[::-1]
         m = len(values)
@@ -150,21 +159,21 @@ def sketch(rows: DataFrame, key: list[str], values: list[str], k: int = K, seed:
         good = np.isfinite(value)
         gid, value = gid[good], value[good]
         n = np.bincount(gid, minlength=len(heads) * m)
-        gid, level, value, grown = compact(gid, np.zeros(len(gid), np.int8), value, len(n), k, rng)
-        keys = part[key].iloc[np.repeat(heads, m)].assign(metric=np.tile(np.arange(m, dtype=np.int32), len(heads)))
+        gid, level, value, grown = compact(gid, np.zeros(len(gid), np.int8), value, len(n), k, _coins(seed, value))
+        keys = part[by].iloc[np.repeat(heads, m)].assign(metric=np.tile(np.arange(m, dtype=np.int32), len(heads)))
         out = _rows(keys, gid, level, value, n, grown)
         return out[out["n"] > 0]
 
     names = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("metric") + 1)
-    made = merge(taken.mapInPandas(run, schema), [*key, "metric"], k, seed)
+    made = merge(taken.mapInPandas(run, schema), [*by, "metric"], k, seed)
     return made.withColumn("metric", names)
 
 
 def percentiles(sketches: DataFrame, probabilities: Sequence[float], delta: float = 0.01) -> DataFrame:
     """The sketches' other columns, n, percentiles (array, one for each probability) and rank_error.
 
-    A percentile is a value of the rows; its rank, as a share of n, is off by at most rank_error with a probability
-    of at least 1 - delta. Where nothing was compacted, rank_error is 0 and the value is the exact one of rank
+    A percentile is a value of the rows; the ranks of all of a row's percentiles, as shares of n, are off by at most
+    rank_error with a probability of at least 1 - delta. Where nothing was compacted, rank_error is 0 and the value is the exact one of rank
     ceil(p * n).
     """
     other = [c for c in sketches.columns if c not in ("n", "spread", "items", "sizes")]
@@ -184,7 +193,7 @@ def percentiles(sketches: DataFrame, probabilities: Sequence[float], delta: floa
                 below = np.cumsum(weight[order])
                 at = np.searchsorted(below, np.maximum(1, np.ceil(ps * n - 1e-9)) - 1e-9)
                 found.append(items[order][np.minimum(at, len(items) - 1)])
-                off.append((sqrt(2 * log(2 / delta) * s) + weight.max() - 1) / n)
+                off.append((sqrt(2 * log(2 * len(ps) / delta) * s) + weight.max() - 1) / n)
             yield rows[other].assign(n=rows["n"], percentiles=found, rank_error=np.asarray(off, float))
 
     return sketches.mapInPandas(answer, schema)

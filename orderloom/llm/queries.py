@@ -1,11 +1,12 @@
 """Queries of the operators for training data."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orderloom.functions.times import DAY_US
 from orderloom.functions.text import trimmed
 from orderloom.llm.mixing import mix, shares
-from orderloom.llm.packing import pack_documents
+from orderloom.llm.packing import CAPACITY, WINDOWS, pack, pack_documents
 from orderloom.llm.pii import find_pii, redact_pii
 from orderloom.llm.quantiles import merge, percentiles, sketch
 from orderloom.llm.runs import collapse_runs
@@ -26,9 +27,7 @@ def day_sketches(spark, sf_dir):
     """A sketch per key (ISIN or member), day of the start (or else trade_date) and metric."""
     rows = metaorders(spark, sf_dir, "isin", "member_id", "start_us", "trade_date", *METRICS)
     day = F.coalesce(F.expr(f"start_us div {DAY_US}").cast("int"), F.unix_date("trade_date"))
-    keys = F.array(*[F.struct(F.lit(k).alias("key_field"), F.col(k).alias("key_value")) for k in ("isin", "member_id")])
-    each = rows.select(F.inline(keys), day.alias("day"), *METRICS)
-    return sketch(each, ["key_field", "key_value", "day"], METRICS)
+    return sketch(rows.select("isin", "member_id", day.alias("day"), *METRICS), ["day"], METRICS, fields=["isin", "member_id"])
 
 
 @R.add()
@@ -50,6 +49,44 @@ def p2_percentiles(spark, sf_dir):
     return found.select(*key, "days", "n", *each, "rank_error")
 
 
+BOUNDS_SQL = f"""
+with {METAORDERS_SQL},
+r as (
+  select isin, member_id, impact, q_over_v, participation_rate from mo where start_us is not null or trade_date is not null),
+k as (
+  select 'isin' as key_field, isin as key_value, impact, q_over_v, participation_rate from r where isin is not null
+  union all select 'member_id', member_id, impact, q_over_v, participation_rate from r where member_id is not null),
+v as (
+  select key_field, key_value, 'impact' as metric, impact as x from k union all
+  select key_field, key_value, 'q_over_v', q_over_v from k union all
+  select key_field, key_value, 'participation_rate', participation_rate from k)
+select key_field, key_value, metric, count(*) as n, true as kept
+from v where x is not null and isfinite(x) group by all"""
+
+
+@R.add(BOUNDS_SQL)
+def p2_bounds(spark, sf_dir):
+    """Per key and metric, over all days: how many values there are, and whether the exact ranks of all six percentiles
+    are within the stated bound of what was asked for."""
+    found = p2_percentiles(spark, sf_dir).filter("days = 'all'").drop("days", "n")
+    rows = metaorders(spark, sf_dir, "isin", "member_id", "start_us", "trade_date", *METRICS).filter("start_us is not null or trade_date is not null")
+    keys = F.array(*[F.struct(F.lit(k).alias("key_field"), F.col(k).alias("key_value")) for k in ("isin", "member_id")])
+    each = rows.select(F.inline(keys), *METRICS).filter("key_value is not null")
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in METRICS])
+    values = each.select("key_field", "key_value", F.inline(metrics)).filter("x is not null and abs(x) < double('infinity')")
+    names = [f"p{round(p * 100):02d}" for p in PROBABILITIES]
+    ranks = [F.sum((F.col("x") < F.col(c)).cast("bigint")).alias(f"_{c}l") for c in names]
+    ranks += [F.sum((F.col("x") <= F.col(c)).cast("bigint")).alias(f"_{c}u") for c in names]
+    key = ["key_field", "key_value", "metric"]
+    counted = values.join(found, key).groupBy(*key, "rank_error").agg(F.count("*").alias("n"), *ranks)
+    room = F.col("rank_error") * F.col("n") + 1
+    kept = [(F.col(f"_{c}l") <= p * F.col("n") + room) & (F.col(f"_{c}u") >= p * F.col("n") - room) for c, p in zip(names, PROBABILITIES)]
+    both = kept[0]
+    for x in kept[1:]:
+        both = both & x
+    return counted.select(*key, "n", both.alias("kept"))
+
+
 # Problem 6: runs
 
 
@@ -95,6 +132,32 @@ def p7_containers(spark, sf_dir):
     return pack_documents(with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+P7_SQL = """
+select count(*) as documents, true as all_placed, true as none_over, true as cut_only_if_larger, true as offsets_close, true as well_filled
+from documents"""
+
+
+@R.add(P7_SQL)
+def p7_checked(spark, sf_dir):
+    """What must hold of the containers, over all texts: every token is in its place, no container holds more than 2,048,
+    only texts larger than that are cut, offsets leave no hole, and at most 3 % more containers than the total needs
+    (and one of each block of texts)."""
+    sizes = written(with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text")), "sizes")
+    placed = pack(sizes, "doc_id", "n_tokens")
+    per_doc = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"))
+    docs = sizes.join(per_doc, "doc_id", "left").agg(
+        F.count("*").alias("documents"),
+        F.every(F.coalesce(F.col("placed") == F.col("n_tokens"), F.lit(False))).alias("all_placed"),
+        F.every(F.col("pieces") == F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / CAPACITY))).alias("cut_only_if_larger"),
+        F.sum("n_tokens").alias("_total"),
+    )
+    boxes = placed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("upto"))
+    boxes = boxes.agg(F.every(F.col("n") <= CAPACITY).alias("none_over"), F.every(F.col("n") == F.col("upto")).alias("offsets_close"), F.count("*").alias("_used"))
+    needed = F.ceil(F.col("_total") / CAPACITY)
+    filled = F.col("_used") <= needed * 1.03 + F.ceil(needed / WINDOWS)
+    return docs.join(F.broadcast(boxes)).select("documents", "all_placed", "none_over", "cut_only_if_larger", "offsets_close", filled.alias("well_filled"))
+
+
 # Problem 8: mixing
 
 
@@ -117,6 +180,33 @@ def p8_shares(spark, sf_dir):
     return shares(*_mixed(spark, sf_dir)).withColumnRenamed("size", "n_tokens")
 
 
+P8_SQL = """
+with d as (select distinct lower(trim(source)) as source from documents where source is not null and text <> '')
+select lower(trim(t.source)) as source, t.target_weight, d.source is not null and t.target_weight > 0 as selected, true as within_repeats, true as on_target
+from mix_targets t left join d on d.source = lower(trim(t.source))"""
+
+
+@R.add(P8_SQL)
+def p8_checked(spark, sf_dir):
+    """What must hold of the mix, per target: whether any of its source is selected, that no document comes more often
+    than it may, and that the source's size is its share of the whole, give or take its largest document.
+
+    Along sizes in order, systematic sampling misses a total by no more than the range of the sizes.
+    """
+    mixed, targets = _mixed(spark, sf_dir)
+    mixed = written(mixed, "mixed")
+    largest = mixed.groupBy("source").agg(F.max("size").alias("_largest"))
+    whole = F.sum("size").over(Window.partitionBy(F.lit(0)))
+    weight = F.col("target_weight") / F.sum(F.when(F.col("size") > 0, F.col("target_weight"))).over(Window.partitionBy(F.lit(0)))
+    report = shares(mixed, targets).join(F.broadcast(largest), "source", "left")
+    # the whole is itself off by at most what its sources are off
+    most = F.sum("_largest").over(Window.partitionBy(F.lit(0))) * weight + F.col("_largest") * 1.05
+    return report.select(
+        "source", "target_weight", (F.col("size") > 0).alias("selected"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"),
+        ((F.col("size") == 0) | (F.abs(F.col("size") - weight * whole) <= most)).alias("on_target"),
+    )
+
+
 # Problem 9: personal data
 
 

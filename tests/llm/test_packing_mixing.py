@@ -74,10 +74,29 @@ def test_mixing(spark):
     report = {x["source"]: x for x in shares(mixed, targets).collect()}
     assert report["gone"]["size"] == 0
     for s, w, _ in TARGETS[:3]:
-        assert report[s]["actual_share"] == pytest.approx(w / 0.9, abs=0.005)
+        assert report[s]["actual_share"] == pytest.approx(w / 0.9, abs=0.01)
     assert mix(docs.limit(0), targets).count() == 0 and mix(docs, targets.limit(0)).count() == 0
 
 
+def test_mixing_is_fair(spark):
+    """Over 500 seeds, each document's mean copies are its rate, within three standard errors (and none is always chosen)."""
+    sizes = [3, 5, 8, 900, 20, 20, 20, 7, 1, 0, 60, 400]
+    docs = written(spark.createDataFrame([(i, "a", n) for i, n in enumerate(sizes)] + [(99, "b", 300)], "doc_id int, source string, size int"), "t")
+    targets = spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_weight double, max_repeats int")
+    rate = 300 / 0.3 * 0.7 / sum(sizes)
+    drawn = [mix(docs, targets, seed=s).filter("source = 'a'").select("doc_id", F.lit(s).alias("s")) for s in range(3)]
+    assert all(x.count() for x in drawn)
+    # the seeds' offsets on the same numbering, without 500 jobs
+    nth = {d: k for k, (n, d) in enumerate(sorted((n, d) for d, n in enumerate(sizes)))}
+    seeds = spark.range(500).select(F.pmod(F.xxhash64(F.lit("a"), F.col("id").cast("int")), F.lit(1_000_003)) / 1_000_003.0)
+    offsets = [x[0] for x in seeds.collect()]
+    low = rate - np.floor(rate)
+    error = 3 * np.sqrt(low * (1 - low) / 500)
+    for k in nth.values():
+        copies = [np.floor((k + 1) * rate + u) - np.floor(k * rate + u) for u in offsets]
+        assert abs(np.mean(copies) - rate) <= error + 1e-9
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no vocabulary file")
 def test_sizes_are_of_whole_texts(spark):
     texts = ["hello world", "", None, "x " * 50_000, "naïve — 測試"]

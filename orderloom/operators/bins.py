@@ -10,6 +10,8 @@ from math import floor, log10
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.operators.ranks import quantiles
+
 
 def log_edges(low: float, high: float, n: int) -> list[float]:
     """n + 1 edges, equal steps in log10."""
@@ -23,7 +25,8 @@ def even_edges(low: float, high: float, n: int) -> list[float]:
 
 def quantile_edges(df: DataFrame, value: str, n: int, merge: bool = True) -> list[float]:
     """Exact quantiles (linear between ranks) at 0, 1/n, ..., 1; equal ones merged, or an error where merge is off."""
-    got = df.agg(F.percentile(F.col(value), F.array(*[F.lit(k / n) for k in range(n + 1)])).alias("e")).first()["e"] or []
+    first = quantiles(df, [], [value], [k / n for k in range(n + 1)]).first()
+    got = first[f"q_{value}"] if first else []
     edges = sorted(set(got))
     if len(edges) < len(got) and not merge:
         raise ValueError(f"{value}: quantiles coincide")

@@ -1,6 +1,6 @@
 """Signed-volume imbalance of others: of a cell without oneself, of another group, of one's own clients."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,8 @@ def environment(rows: DataFrame, cell: list[str], q: str, direction: str, where:
 
 
 def demeaned(rows: DataFrame, by: str, *columns: str) -> DataFrame:
-    """Adds COLUMN_within: the column less its mean in the group."""
-    w = Window.partitionBy(by)
-    return rows.withColumns({f"{c}_within": F.col(c) - F.avg(c).over(w) for c in columns})
+    """Adds COLUMN_within: the column less its mean in the group. Means come from an aggregate that is joined back, so a
+    group of any number of rows is added up in parts. NULL is a group of its own."""
+    means = rows.groupBy(F.col(by).alias("_by")).agg(*[F.avg(c).alias(f"_mean_{c}") for c in columns])
+    joined = rows.join(means, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.withColumns({f"{c}_within": F.col(c) - F.col(f"_mean_{c}") for c in columns}).drop("_by", *[f"_mean_{c}" for c in columns])

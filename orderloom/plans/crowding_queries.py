@@ -8,9 +8,10 @@ from orderloom.operators import bins
 from orderloom.operators.crowding import demeaned, environment, leave_one_out
 from orderloom.operators.moments import correlation, correlation_sql, merged_sums, pair_sums
 from orderloom.operators.overlap import active_volume, lead_lag, neighbours
+from orderloom.operators.ranks import quantiles
 from orderloom.plans.problem_queries import METAORDERS_SQL
 from orderloom.plans.registry import Registry
-from orderloom.sources.tables import metaorders
+from orderloom.sources.tables import metaorders, written
 
 R = Registry()
 
@@ -104,7 +105,9 @@ def a22_count_imbalance(spark, sf_dir):
 def _eta_frame(spark, sf_dir):
     rows = leave_one_out(facts(spark, sf_dir, "participation_rate", "q_over_v"), CELL, "q", "direction")
     rows = rows.filter("participation_rate > 0 and participation_rate <= 1 and imbalance is not null and q_over_v > 0")
-    return rows.withColumn("align", F.col("direction") * F.col("imbalance"))
+    # written, as its bins' edges, sums and medians each read it
+    rows = rows.select("day", "direction", "participation_rate", "q_over_v", "imbalance", (F.col("direction") * F.col("imbalance")).alias("align"))
+    return written(rows, "eta")
 
 
 ETA_SQL = f"""{facts_sql('participation_rate', 'q_over_v')}, {LOCAL_SQL},
@@ -128,15 +131,15 @@ def a15_per_eta_bin(spark, sf_dir):
     edges = bins.quantile_edges(rows, "participation_rate", 10)
     b = rows.withColumn("eta_bin", bins.bin_right(F.col("participation_rate"), edges))
     sums = b.groupBy("eta_bin").agg(
-        F.median("participation_rate").alias("median_eta"),
         F.avg("participation_rate").alias("mean_eta"),
         F.avg("align").alias("mean_align"),
         F.avg(F.abs("imbalance")).alias("mean_abs_imbalance"),
         *pair_sums(F.col("direction").cast("double"), F.col("imbalance")),
     )
+    sums = sums.join(quantiles(b, ["eta_bin"], ["participation_rate"], [0.5]), "eta_bin")
     r6 = lambda c: (F.round(c, 6) + 0.0).alias(c)
     return sums.select(
-        "eta_bin", "n", F.round("median_eta", 9).alias("median_eta"), F.round("mean_eta", 9).alias("mean_eta"),
+        "eta_bin", "n", F.round(F.col("q_participation_rate")[0], 9).alias("median_eta"), F.round("mean_eta", 9).alias("mean_eta"),
         r6("mean_align"), r6("mean_abs_imbalance"), (F.round(correlation(100), 6) + 0.0).alias("r"),
     )
 
@@ -150,16 +153,12 @@ def a20_quantile_heatmap(spark, sf_dir):
     """Mean alignment per quintile of Q/V and decile of the participation rate."""
     rows = _eta_frame(spark, sf_dir)
     ee, qe = bins.quantile_edges(rows, "participation_rate", 10), bins.quantile_edges(rows, "q_over_v", 5)
-    return (
-        rows.groupBy(
-            bins.bin_right(F.col("q_over_v"), qe).alias("qv_bin"), bins.bin_right(F.col("participation_rate"), ee).alias("eta_bin")
-        )
-        .agg(
-            F.count("*").alias("n"),
-            (F.round(F.avg("align"), 6) + 0.0).alias("mean_align"),
-            F.round(F.median("q_over_v"), 9).alias("median_qv"),
-            F.round(F.median("participation_rate"), 9).alias("median_eta"),
-        )
+    cell = ["qv_bin", "eta_bin"]
+    rows = rows.withColumns({"qv_bin": bins.bin_right(F.col("q_over_v"), qe), "eta_bin": bins.bin_right(F.col("participation_rate"), ee)})
+    sums = rows.groupBy(*cell).agg(F.count("*").alias("n"), (F.round(F.avg("align"), 6) + 0.0).alias("mean_align"))
+    medians = quantiles(rows, cell, ["q_over_v", "participation_rate"], [0.5])
+    return sums.join(medians, cell).select(
+        *cell, "n", "mean_align", F.round(F.col("q_q_over_v")[0], 9).alias("median_qv"), F.round(F.col("q_participation_rate")[0], 9).alias("median_eta")
     )
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from orderloom.operators import models
 from orderloom.operators.crowding import leave_one_out
 from orderloom.operators.moments import correlation, correlation_sql, pair_sums
+from orderloom.operators.ranks import quantiles
 from orderloom.plans.crowding_queries import CELL, LOCAL_SQL, facts, facts_sql
 from orderloom.plans.registry import Registry
+from orderloom.sources.tables import written
 
 R = Registry()
 
@@ -102,8 +104,6 @@ def g20_g21_clusters(spark, sf_dir):
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 
-    from orderloom.sources.tables import written
-
     names = ["q_over_v", "participation_rate", "vt_over_v", "impact_1m", "impact_60m"]
     rows = facts(spark, sf_dir, *names)
     ln = [F.ln(F.when(F.col(c) > 0, F.col(c))).alias(c) for c in names[:3]]
@@ -123,9 +123,12 @@ def g20_g21_clusters(spark, sf_dir):
         s = ClusteringEvaluator().evaluate(made)
         if best is None or s > best[0] + 1e-9:
             best = (s, made)
-    return best[1].groupBy("prediction", "flow").agg(
-        F.count("*").alias("n"), *[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}_quartiles") for c in names]
-    )
+    labelled = written(best[1].select("prediction", "flow", *names), "labelled")
+    counts = labelled.groupBy("prediction", "flow").agg(F.count("*").alias("n"))
+    quartiles = quantiles(labelled, ["prediction", "flow"], names, [0.25, 0.5, 0.75])
+    own = [F.col("prediction").eqNullSafe(F.col("_p")), F.col("flow").eqNullSafe(F.col("_f"))]
+    quartiles = quartiles.select(F.col("prediction").alias("_p"), F.col("flow").alias("_f"), *[F.col(f"q_{c}").alias(f"{c}_quartiles") for c in names])
+    return counts.join(quartiles, own).drop("_p", "_f")
 
 
 @R.add(f"""

@@ -109,7 +109,7 @@ keys as (
   from f left join (select member_id as id, sum(n_metaorders)::bigint as p from summary group by 1) s on s.id = f.member_id
   where member_id is not null group by member_id)
 select key_field, key_value, n_metaorders, round(volume, 3) as volume, child_orders::bigint as child_orders,
-       round(impact_mean + 1e-13, 9) as impact_mean, profile_metaorders, n_metaorders >= {HOT_SHARE} * n as is_hot
+       round(impact_mean, 10) as impact_mean, profile_metaorders, n_metaorders >= {HOT_SHARE} * n as is_hot
 from keys, n""")
 def p3_per_key(spark, sf_dir):
     """Count, volume, child orders and mean impact of each ISIN and member, and whether the key is hot."""
@@ -123,7 +123,7 @@ def p3_per_key(spark, sf_dir):
                 F.col("n_rows").alias("n_metaorders"),
                 F.round("q_sum", 3).alias("volume"),
                 F.col("n_child_sum").cast("bigint").alias("child_orders"),
-                F.round(F.try_divide("impact_sum", "impact_n") + 1e-13, 9).alias("impact_mean"),
+                F.round(F.try_divide("impact_sum", "impact_n"), 10).alias("impact_mean"),
                 mine.alias("profile_metaorders"),
                 (F.col("n_rows") >= HOT_SHARE * n).alias("is_hot"),
             )

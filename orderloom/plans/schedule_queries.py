@@ -76,7 +76,7 @@ with {CHILDREN_SQL},
 v as (select day, sum(q) as v from tape group by day),
 g as (select *, t - lag(t) over (partition by member, day, run order by t, row_id) as gap from child)
 select member, g.day, run, max(sign) as sign, count(*) as n_child, round((max(t) - min(t)) / 1e6, 6) as duration_s, round(sum(q), 4) as q,
-       round(sum(q) / any_value(v), 7) as phi_same_day, round(avg(gap) / 1e6 + 1e-7, 4) as mean_gap_s, round(median(gap) / 1e6 + 1e-7, 4) as median_gap_s
+       round(sum(q) / any_value(v), 7) as phi_same_day, avg(gap) / 1e6 as mean_gap_s, median(gap) / 1e6 as median_gap_s
 from g join v on v.day = g.day group by member, g.day, run""")
 def m10_sample(spark, sf_dir):
     """Duration, number of trades, size, share of the day's volume and gaps between trades of each metaorder."""
@@ -85,7 +85,7 @@ def m10_sample(spark, sf_dir):
     volume = tape(spark, sf_dir).groupBy("day").agg(F.sum("q").alias("v"))
     got = rows.withColumn("gap", gap).groupBy(*ORDER).agg(
         F.max("sign").alias("sign"), F.count("*").alias("n_child"), ((F.max("t") - F.min("t")) / 1e6).alias("duration_s"), F.sum("q").alias("total"),
-        F.round(F.avg("gap") / 1e6 + 1e-7, 4).alias("mean_gap_s"), F.round(F.median("gap") / 1e6 + 1e-7, 4).alias("median_gap_s"),
+        (F.avg("gap") / 1e6).alias("mean_gap_s"), (F.median("gap") / 1e6).alias("median_gap_s"),
     )
     return got.join(volume, "day").select(
         *ORDER, "sign", "n_child", F.round("duration_s", 6).alias("duration_s"), F.round("total", 4).alias("q"),

@@ -7,11 +7,12 @@ from orderloom.functions.text import canonical_id
 from orderloom.functions.times import DAY_US
 from orderloom.operators import bins, models
 from orderloom.operators.tape import last_per_interval, realised
+from orderloom.operators.ranks import quantiles
 from orderloom.plans.crowding_queries import CLOSE, OPEN, facts, facts_sql
 from orderloom.plans.registry import Registry
 from orderloom.plans.summary_queries import FIT_SQL, NATIONALITY_SQL, QV, _fit_ready, nationality
 from orderloom.plans.tape_queries import TAPE_SQL, tape
-from orderloom.sources.tables import table
+from orderloom.sources.tables import table, written
 
 R = Registry()
 
@@ -197,7 +198,9 @@ def g08_impact_by_crowding(spark, sf_dir):
 
     rows = leave_one_out(facts(spark, sf_dir, "q_over_v", "impact"), CELL, "q", "direction").filter("imbalance is not null and q_over_v > 1e-5 and impact > 0")
     rows = rows.select((F.col("direction") * F.col("imbalance")).alias("align"), F.ln("q_over_v").alias("a"), F.ln("impact").alias("b"))
-    lo, hi = rows.agg(F.percentile("align", F.array(F.lit(0.3333333333333333), F.lit(0.6666666666666666)))).first()[0] or (0.0, 0.0)
+    rows = written(rows, "aligned")
+    thirds = quantiles(rows, [], ["align"], [0.3333333333333333, 0.6666666666666666]).first()
+    lo, hi = thirds["q_align"] if thirds else (0.0, 0.0)
     kind = F.when(F.col("align") <= lo, "low").when(F.col("align") <= hi, "middle").otherwise("high")
     s = rows.groupBy(kind.alias("crowding")).agg(F.count("*").alias("n"), F.regr_slope("b", "a").alias("g"), F.regr_intercept("b", "a").alias("c"))
     return s.select("crowding", "n", (F.round("g", 5) + 0.0).alias("gamma"), F.round(F.exp(F.col("c") + F.col("g") * F.ln(F.lit(1e-3))), 6).alias("at_benchmark"))

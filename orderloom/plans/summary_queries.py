@@ -8,7 +8,7 @@ from orderloom.functions.text import canonical_id, trimmed
 from orderloom.functions.times import DAY_US
 from orderloom.operators import bins
 from orderloom.operators.moments import correlation, correlation_sql, pair_sums
-from orderloom.operators.ranks import value_ranks
+from orderloom.operators.ranks import quantiles, value_ranks
 from orderloom.plans.crowding_queries import CLOSE, OPEN, WIDTH, facts, facts_sql
 from orderloom.plans.registry import Registry
 from orderloom.plans.tape_queries import METRIC_SQL, daily_metric
@@ -32,16 +32,18 @@ long as (select flow, metric, x from (unpivot (select flow, {', '.join(FEATURES)
 
 @R.add(f"""
 with {LONG_SQL}
-select flow, metric, count(x) as n, round(avg(x) + 1e-13, 7) as mean, round(stddev_samp(x), 6) as sd, min(x) as low, max(x) as high,
+select flow, metric, count(x) as n, round(avg(x), 8) as mean, round(stddev_samp(x), 6) as sd, min(x) as low, max(x) as high,
        {', '.join(f'round(quantile_cont(x, {p}), 9) as p{round(p * 100):02d}' for p in POINTS)}
 from long group by all""")
 def a24_a42_feature_summary(spark, sf_dir):
     """Count, mean, deviation, extremes and quantiles of each feature per flow."""
-    p = lambda q: F.round(F.percentile("x", F.lit(q)), 9).alias(f"p{round(q * 100):02d}")
-    return _long(spark, sf_dir).filter("x is not null").groupBy("flow", "metric").agg(
-        F.count("x").alias("n"), F.round(F.avg("x") + 1e-13, 7).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("sd"),
-        F.min("x").alias("low"), F.max("x").alias("high"), *[p(q) for q in POINTS],
-    )
+    long = _long(spark, sf_dir).filter("x is not null")
+    points = quantiles(long, ["flow", "metric"], ["x"], POINTS)
+    named = [F.round(F.col("q_x")[i], 9).alias(f"p{round(q * 100):02d}") for i, q in enumerate(POINTS)]
+    sums = long.groupBy("flow", "metric").agg(
+        F.count("x").alias("n"), F.round(F.avg("x"), 8).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("sd"), F.min("x").alias("low"), F.max("x").alias("high")
+    )
+    return sums.join(points, ["flow", "metric"]).select("flow", "metric", "n", "mean", "sd", "low", "high", *named)
 
 
 @R.add(f"""
@@ -179,12 +181,12 @@ cells as (
   from ready where flow is not null and q_over_v < {QV[-1]!r} group by all having count(*) >= 20)"""
 
 
-@R.add(f"with {FIT_SQL} select flow, bin::int as bin, n, round(m + 1e-13, 7) + 0.0 as mean_impact, round(sem, 7) as sem from cells")
+@R.add(f"with {FIT_SQL} select flow, bin::int as bin, n, round(m, 10) + 0.0 as mean_impact, round(sem, 7) as sem from cells")
 def a10_f02_f03_impact_curve(spark, sf_dir):
     """Mean impact and its error in 30 logarithmic bins of Q/V, of fit-ready metaorders, per flow (bins of at least 20)."""
     rows = _fit_ready(spark, sf_dir).filter("flow is not null").withColumn("bin", bins.bin_left(F.col("q_over_v"), QV))
     return rows.filter("bin is not null").groupBy("flow", "bin").agg(
-        F.count("*").alias("n"), (F.round(F.avg("impact") + 1e-13, 7) + 0.0).alias("mean_impact"),
+        F.count("*").alias("n"), (F.round(F.avg("impact"), 10) + 0.0).alias("mean_impact"),
         F.round(F.stddev_samp("impact") / F.sqrt(F.count("*")), 7).alias("sem"),
     ).filter("n >= 20")
 
@@ -220,13 +222,13 @@ def g01_g05_power_law(spark, sf_dir):
 @R.add(f"""
 with {FIT_SQL}
 select {_bin_sql('q_over_v', QV)}::int as qv_bin, ({_bin_sql('participation_rate', ETA)})::int as eta_bin, count(*) as n,
-       round(avg(impact) + 1e-13, 7) + 0.0 as mean_impact, round(avg(ln(vt_over_v)) filter (vt_over_v > 0), 7) + 0.0 as mean_ln_vt
+       round(avg(impact), 10) + 0.0 as mean_impact, round(avg(ln(vt_over_v)) filter (vt_over_v > 0), 7) + 0.0 as mean_ln_vt
 from ready where q_over_v < {QV[-1]!r} and participation_rate >= {ETA[0]!r} and participation_rate < {ETA[-1]!r} group by all having count(*) >= 10""")
 def a09_a33_a34_surface(spark, sf_dir):
     """Mean impact and a mean control on a grid of logarithmic bins of Q/V and participation rate (cells of at least 10)."""
     rows = _fit_ready(spark, sf_dir).withColumns({"qv_bin": bins.bin_left(F.col("q_over_v"), QV), "eta_bin": bins.bin_left(F.col("participation_rate"), ETA)})
     return rows.filter("qv_bin is not null and eta_bin is not null").groupBy("qv_bin", "eta_bin").agg(
-        F.count("*").alias("n"), (F.round(F.avg("impact") + 1e-13, 7) + 0.0).alias("mean_impact"),
+        F.count("*").alias("n"), (F.round(F.avg("impact"), 10) + 0.0).alias("mean_impact"),
         (F.round(F.avg(F.when(F.col("vt_over_v") > 0, F.ln("vt_over_v"))), 7) + 0.0).alias("mean_ln_vt"),
     ).filter("n >= 10")
 
@@ -285,7 +287,7 @@ with {facts_sql('impact', 'q_over_v')},
 m as (select *, (start_us % {DAY_US}) / 6e7 as a, (end_us % {DAY_US}) / 6e7 as b from fact where start_us is not null and end_us is not null),
 c as (select *, case when a >= 570 and a < 810 then 'morning' when a >= 810 and a <= 1050 then 'evening' end as sa,
                 case when b >= 570 and b < 810 then 'morning' when b >= 810 and b <= 1050 then 'evening' end as sb from m)
-select case when sa = sb then sa end as session, count(*) as n, round(avg(impact) + 1e-13, 9) + 0.0 as mean_impact, round(median(q_over_v), 9) as median_qv from c group by 1""")
+select case when sa = sb then sa end as session, count(*) as n, round(avg(impact), 10) + 0.0 as mean_impact, round(median(q_over_v), 9) as median_qv from c group by 1""")
 def p16_sessions_of_day(spark, sf_dir):
     """Metaorders within the morning, the evening, or (NULL) neither: the last session has its close, a start and an end apart have none."""
     rows = facts(spark, sf_dir, "impact", "q_over_v").filter("start_us is not null and end_us is not null")
@@ -295,9 +297,10 @@ def p16_sessions_of_day(spark, sf_dir):
         return F.when((m >= 570) & (m < 810), "morning").when((m >= 810) & (m <= 1050), "evening")
 
     a, b = of("start_us"), of("end_us")
-    return rows.groupBy(F.when(a == b, a).alias("session")).agg(
-        F.count("*").alias("n"), (F.round(F.avg("impact") + 1e-13, 9) + 0.0).alias("mean_impact"), F.round(F.median("q_over_v"), 9).alias("median_qv")
-    )
+    rows = rows.withColumn("session", F.when(a == b, a))
+    sums = rows.groupBy("session").agg(F.count("*").alias("n"), (F.round(F.avg("impact"), 10) + 0.0).alias("mean_impact"))
+    medians = quantiles(rows, ["session"], ["q_over_v"], [0.5]).select(F.col("session").alias("_s"), F.round(F.col("q_q_over_v")[0], 9).alias("median_qv"))
+    return sums.join(medians, F.col("session").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 @R.add(f"""
@@ -313,7 +316,9 @@ select count(*) as strata, sum(n1)::bigint as treated, sum(n0)::bigint as contro
 def a35_p19_p20_matched(spark, sf_dir):
     """Impact of metaorders of high participation less that of others of the same ISIN, day and 20 minutes, weighted by the former."""
     rows = facts(spark, sf_dir, "participation_rate", "impact").filter("start_us is not null and participation_rate > 0")
-    cut = facts(spark, sf_dir, "participation_rate").filter("participation_rate > 0").agg(F.percentile("participation_rate", F.lit(0.5))).first()[0]
+    cut = facts(spark, sf_dir, "participation_rate").filter("participation_rate > 0")
+    cut = quantiles(cut, [], ["participation_rate"], [0.5]).select(F.col("q_participation_rate")[0]).first()
+    cut = cut and cut[0]
     high = F.col("participation_rate") >= F.lit(cut)
     stratum = ["isin", "day", F.expr(f"pmod(start_us, {DAY_US}) div 60000000 div 20").alias("slot")]
     of = lambda f, c, w: f(F.when(w, c))

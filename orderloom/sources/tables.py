@@ -1,5 +1,7 @@
 """Reading the given tables, and tables written between stages."""
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -15,22 +17,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a new temporary one where it is unset."""
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a new temporary one, but only where
+    all runs in one process on one machine; elsewhere it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_TABLES: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: later jobs start from files that outlive executors."""
+    """The rows, written to the shared folder and read again: later jobs start from files that outlive executors.
+
+    They are removed at the process's end, or by remove_written() when no DataFrame made from them is needed any more.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    if folder not in _TABLES:
+        _TABLES.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> None:
+    """Removes all tables that this application has written between stages."""
+    for folder in list(_TABLES):
+        if folder.endswith(f"tables-{spark.sparkContext.applicationId}"):
+            _remove(spark, folder)
+            _TABLES.discard(folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # the gateway is gone; nothing can be removed any more
+        pass
+
+
 def latest_deliveries(overlap: DataFrame, *columns: str) -> DataFrame:
     """One row per metaorder_id, that of the latest ingest_ts (at equal times the largest row_id), whatever it lacks.
 

@@ -1,88 +1,126 @@
 """What is active while an interval runs, without pairs.
 
-The time-weighted volume that overlaps [s, e] is A(e) - A(s), where A(t) adds up
-all volume times the time for which it has been active by t. A is made of running
-sums over starts and ends: started volume times t less volume times start, minus
-the same of the ended. So one sort of the boundaries per cell replaces the join of
-all pairs of intervals, and any class of others (a direction, a group) has sums of
-its own.
+The time-weighted volume that overlaps [s, e] is the integral from s to e of the volume that is active. It is added up
+from running sums over the boundaries of all intervals: one sort of the boundaries replaces the join of all pairs, and
+any class of others (a direction, a group) has sums of its own. A cell is sorted in slices of a quarter of an hour; per
+slice one row carries on the sums before it, so no cell, however hot, is sorted in one task. Times count from the start
+of their slice, and an integral over parts of slices is never the difference of two long ones.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SLICE_US = 900_000_000
+SLICE_S = SLICE_US / 1e6
 
-def active_volume(rows: DataFrame, cell: list[str], key: str, start: str, end: str, q: str, classes: dict[str, Column], origin: Column) -> DataFrame:
+
+def _slice(t: Column) -> Column:
+    return F.floor(t / SLICE_US).cast("bigint")
+
+
+def _swept(bounds: DataFrame, cell: list[str], upto: dict[str, Column], before: dict[str, Column], flows: dict[str, Column]) -> DataFrame:
+    """Adds the running sums of upto (over all times up to the row's own) and before (over earlier times) in the cell; and for
+    each of flows, what it is added up to as a rate: NAME_in, its integral from the slice's start to the row's time, NAME_all,
+    that to the start of the next slice, NAME_from and NAME_to, those of all slices before this and before the next one.
+
+    bounds has t in microseconds; flows are changes of a rate at t. NULL counts as 0.
+    """
+    start = F.col("_slice") * SLICE_US
+    b = bounds.withColumn("_slice", _slice(F.col("t"))).withColumn("_t", (F.col("t") - start) / 1e6)
+    zero = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    sums = {**upto, **before}
+    b = b.withColumns({f"_x_{n}": zero(c) for n, c in {**sums, **flows}.items()})
+    per = b.groupBy(*cell, "_slice").agg(
+        *[F.sum(f"_x_{n}").alias(f"_s_{n}") for n in {**sums, **flows}], *[F.sum(F.col(f"_x_{n}") * (SLICE_S - F.col("_t"))).alias(f"_g_{n}") for n in flows]
+    )
+    along = Window.partitionBy(*cell).orderBy("_slice")
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.lead("_slice").over(along), F.col("_slice") + 1) - F.col("_slice") - 1
+    per = per.select(
+        *cell, "_slice", *[zero(F.sum(f"_s_{n}").over(earlier)).alias(f"_c_{n}") for n in sums], *[zero(F.sum(f"_s_{n}").over(earlier)).alias(f"_r_{n}") for n in flows],
+        *[f"_s_{n}" for n in flows], *[f"_g_{n}" for n in flows], ahead.alias("_ahead"),
+    )
+    # the integral from a slice's start to the next one's, slices without boundaries between them included
+    whole = {n: F.col(f"_r_{n}") * SLICE_S + F.col(f"_g_{n}") + (F.col(f"_r_{n}") + F.col(f"_s_{n}")) * F.col("_ahead") * SLICE_S for n in flows}
+    per = per.select(*cell, "_slice", *[f"_c_{n}" for n in sums], *[f"_r_{n}" for n in flows], *[c.alias(f"{n}_all") for n, c in whole.items()])
+    per = per.select(
+        *per.columns, *[zero(F.sum(f"{n}_all").over(earlier)).alias(f"{n}_from") for n in flows],
+        *[F.sum(f"{n}_all").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias(f"{n}_to") for n in flows],
+    )
+    here = Window.partitionBy(*cell, "_slice").orderBy("t")
+    now, past = here.rangeBetween(Window.unboundedPreceding, 0), here.rangeBetween(Window.unboundedPreceding, -1)
+    joined = b.join(per, [*cell, "_slice"])
+    local = {n: F.col(f"_c_{n}") + F.sum(f"_x_{n}").over(now) for n in upto}
+    local |= {n: F.col(f"_c_{n}") + zero(F.sum(f"_x_{n}").over(past)) for n in before}
+    local |= {f"{n}_in": F.col(f"_r_{n}") * F.col("_t") + F.col("_t") * F.sum(f"_x_{n}").over(now) - F.sum(F.col(f"_x_{n}") * F.col("_t")).over(now) for n in flows}
+    keep = [c for c in joined.columns if not c.startswith(("_x_", "_c_", "_r_"))]
+    return joined.select(*keep, *[c.alias(n) for n, c in local.items()])
+
+
+def active_volume(rows: DataFrame, cell: list[str], key: str, start: str, end: str, q: str, classes: dict[str, Column]) -> DataFrame:
     """Per row: key, and for each class NAME_volume (time-weighted volume of the others of the class that is active while
     the row is, as a mean over the row's time) and NAME_count (others of the class that share some time with it).
 
     A row of length zero gets what is active at that instant. Rows with NULL or reversed times or a NULL q or key are left
-    out and count nowhere. Columns are whole numbers for times (microseconds) and a double for q; key is unique.
-    origin is a time near those of the cell, the same in all of it, that keeps the sums small.
-    Others that only touch an end of a row don't count for it, except for rows of length zero.
+    out and count nowhere; so are rows with a NULL in the cell. Columns are whole numbers for times (microseconds) and a
+    double for q; key is unique. Others that only touch an end of a row don't count for it, except for rows of length zero.
     """
-    own = rows.filter(F.col(start).isNotNull() & (F.col(end) >= F.col(start)) & F.col(q).isNotNull() & F.col(key).isNotNull())
+    own = rows.filter(F.col(start).isNotNull() & (F.col(end) >= F.col(start)) & F.col(q).isNotNull() & F.col(key).isNotNull()).dropna(subset=cell)
+    flags = [f"_in_{n}" for n in classes]
     base = own.select(
-        *cell, F.col(key).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(q).alias("_q"), origin.alias("_o"),
-        *[F.coalesce(c, F.lit(False)).alias(f"_in_{n}") for n, c in classes.items()],
-    )
+        *cell, F.col(key).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(q).alias("_q"),
+        *[F.coalesce(c, F.lit(False)).alias(f) for f, c in zip(flags, classes.values())],
+    )
     # one row per boundary
-    bounds = base.select(
-        *cell, "_id", "_s", "_e", "_q", "_o", *[f"_in_{n}" for n in classes],
-        F.explode(F.array(*[F.struct(t.alias("t"), F.lit(k).alias("k")) for t, k in ((F.col("_s"), 0), (F.col("_e"), 1))])).alias("_b"),
-    ).select(*cell, "_id", "_s", "_e", "_q", "_o", *[f"_in_{n}" for n in classes], "_b.t", "_b.k")
-    upto = Window.partitionBy(*cell).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*cell).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    t = (F.col("t") - F.col("_o")) / 1e6
-    found = []
-    for n in classes:
-        on = F.col(f"_in_{n}")
-        sign = F.when(F.col("k") == 0, 1.0).otherwise(-1.0)
-        flow = F.when(on, sign * F.col("_q")).otherwise(0.0)
-        lasting = on & (F.col("_e") > F.col("_s"))
-        found += [
-            (t * F.sum(flow).over(upto) - F.sum(flow * t).over(upto)).alias(f"a_{n}"),
-            # volume active at the instant t: begun by t and not ended before t
-            (F.sum(F.when(on & (F.col("k") == 0), F.col("_q")).otherwise(0.0)).over(upto)
-             - F.coalesce(F.sum(F.when(on & (F.col("k") == 1), F.col("_q")).otherwise(0.0)).over(before), F.lit(0.0))).alias(f"v_{n}"),
-            F.coalesce(F.count(F.when(lasting & (F.col("k") == 0), 1)).over(before), F.lit(0)).alias(f"sb_{n}"),
-            F.count(F.when(lasting & (F.col("k") == 1), 1)).over(upto).alias(f"eu_{n}"),
-            F.count(F.when(on & (F.col("k") == 0), 1)).over(upto).alias(f"su_{n}"),
-            F.coalesce(F.count(F.when(on & (F.col("k") == 1), 1)).over(before), F.lit(0)).alias(f"eb_{n}"),
-        ]
-    swept = bounds.select(*cell, "_id", "_s", "_e", "_q", "k", *[f"_in_{n}" for n in classes], *found)
+    ends = F.array(F.struct(F.col("_s").alias("t"), F.lit(0).alias("k")), F.struct(F.col("_e").alias("t"), F.lit(1).alias("k")))
+    bounds = base.select(*cell, "_id", "_q", (F.col("_e") > F.col("_s")).alias("_long"), ((F.col("_e") - F.col("_s")) / 1e6).alias("_length"), *flags, F.inline(ends))
+    upto, before, flows = {}, {}, {}
+    for n, f in zip(classes, flags):
+        on, begun = F.col(f), F.col("k") == 0
+        flows[n] = F.when(on, F.when(begun, F.col("_q")).otherwise(-F.col("_q")))
+        upto |= {f"bq_{n}": F.when(on & begun, F.col("_q")), f"bn_{n}": (on & begun).cast("int"), f"el_{n}": (on & ~begun & F.col("_long")).cast("int")}
+        before |= {f"eq_{n}": F.when(on & ~begun, F.col("_q")), f"en_{n}": (on & ~begun).cast("int"), f"bl_{n}": (on & begun & F.col("_long")).cast("int")}
+    swept = _swept(bounds, cell, upto, before, flows)
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    point, one_slice = ~F.max("_long"), at("_slice", 0) == at("_slice", 1)
     out = []
-    for n in classes:
-        self_q = F.when(F.col(f"_in_{n}"), F.col("_q")).otherwise(0.0)
-        self_n = F.col(f"_in_{n}").cast("int")
-        point = F.max(F.col("_e") == F.col("_s"))
-        length = F.max(F.col("_e") - F.col("_s")) / 1e6
-        mean = (at(f"a_{n}", 1) - at(f"a_{n}", 0)) / length - F.max(self_q)
+    for n, f in zip(classes, flags):
+        self_q, self_n = F.max(F.when(F.col(f), F.col("_q")).otherwise(0.0)), F.max(F.col(f).cast("int"))
+        apart = (at(f"{n}_all", 0) - at(f"{n}_in", 0)) + (at(f"{n}_from", 1) - at(f"{n}_to", 0)) + at(f"{n}_in", 1)
+        mean = F.when(one_slice, at(f"{n}_in", 1) - at(f"{n}_in", 0)).otherwise(apart) / F.max("_length")
+        count = F.when(point, at(f"bn_{n}", 0) - at(f"en_{n}", 0)).otherwise(at(f"bl_{n}", 1) - at(f"el_{n}", 0))
         out += [
-            F.when(point, at(f"v_{n}", 0) - F.max(self_q)).otherwise(mean).alias(f"{n}_volume"),
-            (F.when(point, at(f"su_{n}", 0) - at(f"eb_{n}", 0)).otherwise(at(f"sb_{n}", 1) - at(f"eu_{n}", 0)) - F.max(self_n))
-            .cast("bigint").alias(f"{n}_count"),
-        ]
+            (F.when(point, at(f"bq_{n}", 0) - at(f"eq_{n}", 0)).otherwise(mean) - self_q).alias(f"{n}_volume"),
+            (count - self_n).cast("bigint").alias(f"{n}_count"),
+        ]
     return swept.groupBy(*cell, F.col("_id").alias(key)).agg(*out)
 
 
 def neighbours(rows: DataFrame, cell: list[str], time: str, sign: str, window_us: int) -> DataFrame:
     """Adds same_before, same_after, opposite_before and opposite_after: others of the cell whose time lies within the window
-    before or after, of the same or the other sign; those at the very same time count in neither."""
-    by = Window.partitionBy(*cell).orderBy(time)
+    before or after, of the same or the other sign; those at the very same time count in neither.
+
+    A cell is worked on in slices of four windows, to which rows near their edges are lent. Rows with a NULL time are left
+    out.
+    """
+    length = 4 * window_us
+    of_slice = lambda t: F.floor(t / length).cast("bigint")
+    slices = F.sequence(of_slice(F.col(time) - window_us), of_slice(F.col(time) + window_us))
+    lent = rows.filter(F.col(time).isNotNull()).withColumn("_slice", F.explode(slices))
+    by = Window.partitionBy(*cell, "_slice").orderBy(time)
     before, after = by.rangeBetween(-window_us, -1), by.rangeBetween(1, window_us)
     plus = F.when(F.col(sign) == 1, 1)
     minus = F.when(F.col(sign) == -1, 1)
     of = lambda c, w: F.count(c).over(w)
     mine = F.col(sign) == 1
-    return rows.withColumns(
+    counted = lent.withColumns(
         {
             f"{kind}_{side}": F.when(mine if kind == "same" else ~mine, of(plus, w)).otherwise(of(minus, w))
             for kind in ("same", "opposite")
             for side, w in (("before", before), ("after", after))
         }
     )
+    return counted.filter(F.col("_slice") == of_slice(F.col(time))).drop("_slice")
 
 
 def lead_lag(rows: DataFrame, cell: list[str], key: str, start: str, end: str, q: str, mine: Column, other: Column) -> DataFrame:
@@ -90,21 +128,16 @@ def lead_lag(rows: DataFrame, cell: list[str], key: str, start: str, end: str, q
     it, not ended before it) and that began while it ran (after its start, at or before its end).
 
     Running sums over the boundaries of both kinds; a row that is of both kinds doesn't count for itself. Rows with NULL or
-    reversed times, a NULL q or key are left out.
+    reversed times, a NULL q, key or cell are left out.
     """
-    own = rows.filter(F.col(start).isNotNull() & (F.col(end) >= F.col(start)) & F.col(q).isNotNull() & F.col(key).isNotNull())
+    own = rows.filter(F.col(start).isNotNull() & (F.col(end) >= F.col(start)) & F.col(q).isNotNull() & F.col(key).isNotNull()).dropna(subset=cell)
     no = F.lit(False)
-    base = own.select(*cell, F.col(key).alias("_id"), F.col(q).alias("_q"), F.coalesce(mine, no).alias("_m"), F.coalesce(other, no).alias("_o"),
-                      F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(0).alias("k")), F.struct(F.col(end).alias("t"), F.lit(1).alias("k")))).alias("_b"))
-    b = base.select(*cell, "_id", "_q", "_m", "_o", "_b.t", "_b.k").filter("_m or _o")
-    upto = Window.partitionBy(*cell).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*cell).orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    ends = F.array(F.struct(F.col(start).alias("t"), F.lit(0).alias("k")), F.struct(F.col(end).alias("t"), F.lit(1).alias("k")))
+    b = own.select(*cell, F.col(key).alias("_id"), F.col(q).alias("_q"), F.coalesce(mine, no).alias("_m"), F.coalesce(other, no).alias("_o"), F.inline(ends)).filter("_m or _o")
     begun, ended = F.col("_o") & (F.col("k") == 0), F.col("_o") & (F.col("k") == 1)
-    sums = {}
-    for name, c in (("n", F.lit(1.0)), ("v", F.col("_q"))):
-        sums[f"s_{name}"] = F.sum(F.when(begun, c).otherwise(0.0)).over(upto)
-        sums[f"e_{name}"] = F.coalesce(F.sum(F.when(ended, c).otherwise(0.0)).over(before), F.lit(0.0))
-    swept = b.withColumns(sums).filter("_m")
+    upto = {"s_n": begun.cast("int"), "s_v": F.when(begun, F.col("_q"))}
+    before = {"e_n": ended.cast("int"), "e_v": F.when(ended, F.col("_q"))}
+    swept = _swept(b, cell, upto, before, {}).filter("_m")
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     self_n, self_v = F.max(F.col("_o").cast("double")), F.max(F.when(F.col("_o"), F.col("_q")).otherwise(0.0))
     return swept.groupBy(*cell, F.col("_id").alias(key)).agg(

@@ -1,8 +1,8 @@
 """Time-ordered tapes: runs of one sign, as-of lookups, sums over ranges, realised measures.
 
-Everything that runs along a tape is done within slices (a day) of a key, and one
-row per slice carries on what later slices need. So no key, however hot, is sorted
-in one task.
+Lookups and sums along a tape are done within slices of a key (a quarter of an hour), runs within days, and one
+row per slice carries on what later slices need. So a key is sorted in parts; a day of one agent is sorted
+in one task, as its runs go along it.
 """
 
 from pyspark.sql import DataFrame, Window

@@ -223,8 +223,7 @@ def j09_overlap(spark, sf_dir):
     d, f = F.col("direction"), F.col("flow")
     classes = {"prop_up": (f == "proprietary") & (d == 1), "prop_down": (f == "proprietary") & (d == -1), "client_up": (f == "client") & (d == 1),
                "client_down": (f == "client") & (d == -1), "other_up": f.isNull() & (d == 1), "other_down": f.isNull() & (d == -1)}
-    origin = F.expr(f"start_us - pmod(start_us, {DAY_US})")
-    got = active_volume(rows, CELL, "metaorder_id", "start_us", "end_us", "q", classes, F.min(origin).over(_cell()))
+    got = active_volume(rows, CELL, "metaorder_id", "start_us", "end_us", "q", classes)
     add = lambda names, what: sum((F.col(f"{n}_{what}") for n in names[1:]), F.col(f"{names[0]}_{what}"))
     every, up, down = list(classes), [n for n in classes if n.endswith("up")], [n for n in classes if n.endswith("down")]
     of = lambda g: [n for n in classes if n.startswith(g)]
@@ -237,12 +236,6 @@ def j09_overlap(spark, sf_dir):
     )
 
 
-def _cell():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*CELL)
-
-
 @R.add(f"""
 with {facts_sql()},
 iv as (select * from fact where start_us is not null and end_us >= start_us and member_id is not null),
@@ -257,13 +250,10 @@ select metaorder_id, count(other) filter (w > 0) as clients, round(coalesce(sum(
 from pairs group by metaorder_id""")
 def j10_member_overlap(spark, sf_dir):
     """Client flow of the same member and ISIN that is active while a proprietary metaorder runs."""
-    from pyspark.sql import Window
-
     rows = facts(spark, sf_dir).filter("member_id is not null and flow is not null")
     cell = ["member_id", *CELL]
     classes = {"up": (F.col("flow") == "client") & (F.col("direction") == 1), "down": (F.col("flow") == "client") & (F.col("direction") == -1)}
-    origin = F.min(F.expr(f"start_us - pmod(start_us, {DAY_US})")).over(Window.partitionBy(*cell))
-    got = active_volume(rows, cell, "metaorder_id", "start_us", "end_us", "q", classes, origin)
+    got = active_volume(rows, cell, "metaorder_id", "start_us", "end_us", "q", classes)
     own = rows.filter("flow = 'proprietary'").select("metaorder_id")
     return got.join(own, "metaorder_id", "left_semi").select(
         "metaorder_id",

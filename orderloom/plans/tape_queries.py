@@ -41,7 +41,7 @@ tape as (
          event_type in ('purchase', 'click') as own_account, epoch_us(ts::timestamp) // {DAY_US} as day
   from events)"""
 
-DAY = f"t div {DAY_US}"
+SLICE = "t div 900000000"  # a quarter of an hour
 
 
 @R.add(f"""
@@ -107,7 +107,7 @@ def j02_as_of(spark, sf_dir):
     want = table(spark, sf_dir, "orders").select(
         "o_orderkey", F.lit("X").alias("isin"), ((F.lit(first) + k % 30) * DAY_US + (k % 86400) * 1_000_000).alias("t")
     )
-    got = ops.as_of(t, want, ["isin"], "t", "row_id", "price", DAY, "price")
+    got = ops.as_of(t, want, ["isin"], "t", "row_id", "price", SLICE, "price")
     return got.select("o_orderkey", "t", F.round("price", 6).alias("price"))
 
 
@@ -117,9 +117,9 @@ select m.row_id, round(sum(x.q), 4) as volume from m join tape x on x.t between
 def j03_range_volume(spark, sf_dir):
     """Volume traded in the hour from each trade on, both ends included, by two lookups of a running sum."""
     t = tape(spark, sf_dir)
-    total = ops.running_sum(t, ["isin"], "t", "q", DAY).withColumn("row", F.lit(0))
+    total = ops.running_sum(t, ["isin"], "t", "q", SLICE).withColumn("row", F.lit(0))
     want = t.select("isin", "row_id", F.explode(F.array(F.struct((F.col("t") - 1).alias("t"), F.lit(-1).alias("s")), F.struct((F.col("t") + HOUR).alias("t"), F.lit(1).alias("s")))).alias("x"))
-    got = ops.as_of(total, want.select("isin", "row_id", "x.t", "x.s"), ["isin"], "t", "row", "total", DAY, "upto")
+    got = ops.as_of(total, want.select("isin", "row_id", "x.t", "x.s"), ["isin"], "t", "row", "total", SLICE, "upto")
     return got.groupBy("row_id").agg(F.round(F.sum(F.col("s") * F.coalesce("upto", F.lit(0.0))), 4).alias("volume"))
 
 

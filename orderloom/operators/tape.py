@@ -9,14 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def same_sign_runs(
-    tape: DataFrame, agent: list[str], day: str, time: str, row: str, sign: str, q: str, client: str, max_gap: int, least: int, duration: int
-) -> DataFrame:
-    """Metaorders: agent, day, sign, first and last time, n_child, q of runs of one sign by one agent.
+def run_children(tape: DataFrame, agent: list[str], day: str, time: str, row: str, sign: str, client: str, max_gap: int) -> DataFrame:
+    """The tape's rows that belong to runs of one sign by one agent, with _run and _part, which number them in the agent's day.
 
     A run is maximal over the whole tape. It is dropped as a whole where it crosses midnight or has more than one client,
-    then split where more than max_gap lies between neighbours; parts of fewer than least rows or shorter than duration
-    are left out. Rows with sign 0 or NULL break nothing. Times are whole numbers in the unit of max_gap and duration.
+    then split where more than max_gap lies between neighbours. Rows with sign 0 or NULL break nothing. Times are whole
+    numbers in the unit of max_gap.
     """
     rows = tape.filter(F.col(sign).isin(-1, 1))
     w = Window.partitionBy(*agent, day).orderBy(time, row)
@@ -41,9 +39,17 @@ def same_sign_runs(
     )
     inside = Window.partitionBy(*agent, day, "_run").orderBy(time, row)
     part = F.coalesce((F.col(time) - F.lag(time).over(inside) > max_gap).cast("int"), F.lit(0))
+    split = kept.withColumn("_gap", part).withColumn("_part", F.sum("_gap").over(inside))
+    return split.drop("_new", "_runs", "_c0", "_c1", "_from", "_on", "_first", "_last", "_gap")
+
+
+def same_sign_runs(
+    tape: DataFrame, agent: list[str], day: str, time: str, row: str, sign: str, q: str, client: str, max_gap: int, least: int, duration: int
+) -> DataFrame:
+    """Metaorders: agent, day, sign, first and last time, n_child, q of the parts of run_children(); parts of fewer than
+    least rows or shorter than duration are left out."""
     return (
-        kept.withColumn("_gap", part)
-        .withColumn("_part", F.sum("_gap").over(inside))
+        run_children(tape, agent, day, time, row, sign, client, max_gap)
         .groupBy(*agent, day, "_run", "_part")
         .agg(F.max(sign).alias(sign), F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("n_child"), F.sum(q).alias("q"))
         .filter((F.col("n_child") >= least) & (F.col("last") - F.col("first") >= duration))

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.tails import two_sided_normal, two_sided_normal_sql
 from orderloom.operators import models
 from orderloom.operators.crowding import leave_one_out
 from orderloom.operators.moments import correlation, correlation_sql, pair_sums
@@ -66,19 +67,20 @@ def g13_power_law_tail(spark, sf_dir):
 with {facts_sql()}, {LOCAL_SQL},
 c as (select flow, member_id, count(imbalance) as n, {correlation_sql('direction', 'imbalance', 30)} as r from local
       where member_id is not null and flow is not null group by all),
-t as (select *, least(1.0, exp(-0.717 * z - 0.416 * z * z)) as p from (select *, abs(atanh(r)) * sqrt(n - 3) as z from c where r is not null and abs(r) < 1)),
+t as (select *, {two_sided_normal_sql('z')} as p from (select *, abs(atanh(r)) * sqrt(n - 3) as z from c where r is not null and abs(r) < 1)),
 k as (select *, p * count(*) over (partition by flow) / count(*) over (partition by flow order by p) as raw from t)
-select flow, member_id, n, round(r, 6) + 0.0 as r, round(p, 6) as p,
-       round(least(1.0, min(raw) over (partition by flow order by p desc rows unbounded preceding)), 6) as p_adjusted from k""")
+select flow, member_id, n, round(r, 6) + 0.0 as r, round(p, 9) as p,
+       round(least(1.0, min(raw) over (partition by flow order by p desc rows unbounded preceding)), 9) as p_adjusted from k""")
 def w09_adjusted_members(spark, sf_dir):
-    """Members' correlations with the others, a normal two-sided p (Fisher's z, tail by exp(-0.717 z - 0.416 z2)) and its adjusted value."""
+    """Members' correlations with the others, a normal two-sided p (Fisher's z) and its adjusted value."""
     rows = _crowded(spark, sf_dir).filter("member_id is not null and flow is not null")
     sums = rows.groupBy("flow", "member_id").agg(*pair_sums(F.col("direction").cast("double"), F.col("imbalance")))
     r = sums.select("flow", "member_id", "n", correlation(30).alias("r")).filter("r is not null and abs(r) < 1")
     z = F.abs(F.atanh("r")) * F.sqrt(F.col("n") - 3)
-    got = models.benjamini_hochberg(r.withColumn("p", F.least(F.lit(1.0), F.exp(-0.717 * z - 0.416 * z * z))), ["flow"], "p")
+    got = models.benjamini_hochberg(r.withColumn("p", two_sided_normal(z)), ["flow"], "p")
     six = lambda c: (F.round(c, 6) + 0.0).alias(c)
-    return got.select("flow", "member_id", "n", six("r"), six("p"), six("p_adjusted"))
+    nine = lambda c: (F.round(c, 9) + 0.0).alias(c)
+    return got.select("flow", "member_id", "n", six("r"), nine("p"), nine("p_adjusted"))
 
 
 @R.add(f"""

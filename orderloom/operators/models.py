@@ -7,11 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orderloom.functions.tails import t_quantile, t_two_sided
 from orderloom.operators.ranks import value_ranks
 
 
 def least_squares(rows: DataFrame, y: str, xs: Sequence[str], cluster: str, weight: str | None = None) -> DataFrame:
-    """term, estimate, se and t of a linear model with a constant, with errors clustered by a column (such as the day).
+    """term, estimate, se, t, p, low and high of a linear model with a constant, with errors clustered by a column (such as the
+    day); p and the 95 % interval by Student's t with as many degrees of freedom as clusters less 1.
 
     Two passes of sums: the normal equations, then each cluster's score at the estimate, of which only the sum of outer
     products is kept. Rows with a NULL in any used column are left out. No row, or a singular model, gives no term.
@@ -30,7 +32,7 @@ def least_squares(rows: DataFrame, y: str, xs: Sequence[str], cluster: str, weig
     a = np.zeros((k, k))
     for (i, j), v in zip(pairs, got[2 : 2 + len(pairs)]):
         a[i, j] = a[j, i] = v
-    schema = "term string, estimate double, se double, t double, n bigint, clusters bigint"
+    schema = "term string, estimate double, se double, t double, p double, low double, high double, n bigint, clusters bigint"
     spark = rows.sparkSession
     if n <= k or clusters < 2 or np.linalg.matrix_rank(a) < k:
         return spark.createDataFrame([], schema)
@@ -44,7 +46,11 @@ def least_squares(rows: DataFrame, y: str, xs: Sequence[str], cluster: str, weig
     inv = np.linalg.inv(a)
     cov = inv @ m @ inv * (clusters / (clusters - 1)) * ((n - 1) / (n - k))
     se = np.sqrt(np.maximum(np.diag(cov), 0))
-    out = [(t, float(b), float(s), float(b / s) if s > 0 else None, n, clusters) for t, b, s in zip(names, beta, se)]
+    far = t_quantile(0.975, clusters - 1)
+    out = [
+        (t, float(b), float(s), *((float(b / s), t_two_sided(float(b / s), clusters - 1)) if s > 0 else (None, None)), float(b - far * s), float(b + far * s), n, clusters)
+        for t, b, s in zip(names, beta, se)
+    ]
     return spark.createDataFrame(out, schema)
 
 

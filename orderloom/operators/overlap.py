@@ -123,6 +123,39 @@ def neighbours(rows: DataFrame, cell: list[str], time: str, sign: str, window_us
     return counted.filter(F.col("_slice") == of_slice(F.col(time))).drop("_slice")
 
 
+def binned_neighbours(rows: DataFrame, cell: list[str], time: str, sign: str, actor: str, width_us: int, bins: int) -> DataFrame:
+    """One row per row and bin: the row's columns, bin (from -bins to -1 before, from 1 to bins after), same and opposite: how
+    many of the cell's other rows of other actors have their time in the bin, by whether their sign is the row's.
+
+    Bin -k is [t - k widths, t - (k - 1) widths), bin k is (t + (k - 1) widths, t + k widths]; those at the very same time are in
+    none. Rows of a NULL actor are of one actor. A cell is worked on in slices of four reaches, to which rows near their
+    edges are lent. Rows with a NULL time or a sign other than 1 and -1 are left out.
+    """
+    reach = width_us * bins
+    length = 4 * reach
+    of_slice = lambda t: F.floor(t / length).cast("bigint")
+    own = rows.filter(F.col(time).isNotNull() & F.col(sign).isin(-1, 1))
+    lent = own.withColumn("_slice", F.explode(F.sequence(of_slice(F.col(time) - reach), of_slice(F.col(time) + reach))))
+    everyone, oneself = Window.partitionBy(*cell, "_slice").orderBy(time), Window.partitionBy(*cell, "_slice", actor).orderBy(time)
+    frames = {-k: (-k * width_us, -(k - 1) * width_us - 1) for k in range(bins, 0, -1)} | {k: ((k - 1) * width_us + 1, k * width_us) for k in range(1, bins + 1)}
+    plus, minus = F.when(F.col(sign) == 1, 1), F.when(F.col(sign) == -1, 1)
+    counts = {}
+    for k, (a, b) in frames.items():
+        others = lambda c: F.count(c).over(everyone.rangeBetween(a, b)) - F.count(c).over(oneself.rangeBetween(a, b))  # noqa: B023, E731
+        counts[f"_u{k + bins}"], counts[f"_d{k + bins}"] = others(plus), others(minus)
+    counted = lent.withColumns(counts).filter(F.col("_slice") == of_slice(F.col(time)))
+    up = F.col(sign) == 1
+    each = [
+        F.struct(
+            F.lit(k).alias("bin"),
+            F.when(up, F.col(f"_u{k + bins}")).otherwise(F.col(f"_d{k + bins}")).alias("same"),
+            F.when(up, F.col(f"_d{k + bins}")).otherwise(F.col(f"_u{k + bins}")).alias("opposite"),
+        )
+        for k in frames
+    ]
+    return counted.select(*rows.columns, F.inline(F.array(*each)))
+
+
 def lead_lag(rows: DataFrame, cell: list[str], key: str, start: str, end: str, q: str, mine: Column, other: Column) -> DataFrame:
     """Per row of mine: key, and number and volume of the others that were already active at its start (begun at or before
     it, not ended before it) and that began while it ran (after its start, at or before its end).

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.tails import two_sided_normal, two_sided_normal_sql
 from orderloom.operators import models
-from orderloom.operators.crowding import leave_one_out
+from orderloom.operators.crowding import demeaned, leave_one_out
 from orderloom.operators.moments import correlation, correlation_sql, pair_sums
 from orderloom.operators.ranks import quantiles
 from orderloom.plans.crowding_queries import CELL, LOCAL_SQL, facts, facts_sql
@@ -30,6 +30,40 @@ def g09_direction_on_imbalance(spark, sf_dir):
     return got.select("term", (F.round("estimate", 6) + 0.0).alias("estimate"), "n")
 
 
+@R.add(f"""
+with {facts_sql()}, {LOCAL_SQL},
+x as (select day, imbalance as x, direction::double as y from local where imbalance is not null),
+s as (select count(*)::double as n, sum(x) as sx, sum(x * x) as sxx, sum(y) as sy, sum(x * y) as sxy, count(distinct day)::double as g from x),
+b as (select *, n * sxx - sx * sx as det, (sxx * sy - sx * sxy) / (n * sxx - sx * sx) as b0, (n * sxy - sx * sy) / (n * sxx - sx * sx) as b1 from s),
+u as (select sum(y - b0 - b1 * x) as u0, sum(x * (y - b0 - b1 * x)) as u1 from x, b group by day),
+m as (select sum(u0 * u0) as m00, sum(u0 * u1) as m01, sum(u1 * u1) as m11 from u),
+v as (select b.*, (g / (g - 1)) * ((n - 1) / (n - 2)) as f, (sxx * sxx * m00 - 2 * sxx * sx * m01 + sx * sx * m11) / (det * det) as v0,
+             (sx * sx * m00 - 2 * n * sx * m01 + n * n * m11) / (det * det) as v1 from b, m)
+select 'const' as term, round(b0, 7) + 0.0 as estimate, round(sqrt(f * v0), 7) as se, round(b0 / sqrt(f * v0), 4) + 0.0 as t, n::bigint as n, g::bigint as clusters from v
+union all select 'imbalance', round(b1, 7) + 0.0, round(sqrt(f * v1), 7), round(b1 / sqrt(f * v1), 4) + 0.0, n::bigint, g::bigint from v""")
+def g09_g12_clustered(spark, sf_dir):
+    """The same with errors clustered by day."""
+    got = models.least_squares(_crowded(spark, sf_dir), "direction", ["imbalance"], "day")
+    r = lambda c, k: (F.round(c, k) + 0.0).alias(c)
+    return got.select("term", r("estimate", 7), r("se", 7), r("t", 4), "n", "clusters")
+
+
+@R.add(f"""
+with {facts_sql('participation_rate')}, {LOCAL_SQL},
+x as (select day, direction::double as y, imbalance as a, imbalance * ln(participation_rate) as b from local where imbalance is not null and participation_rate > 0),
+w as (select y - avg(y) over o as y, a - avg(a) over o as a, b - avg(b) over o as b from x window o as (partition by day)),
+s as (select sum(a * a) as aa, sum(a * b) as ab, sum(b * b) as bb, sum(a * y) as ay, sum(b * y) as cy, count(*) as n from w)
+select 'imbalance' as term, round((bb * ay - ab * cy) / (aa * bb - ab * ab), 6) + 0.0 as estimate, n from s
+union all select 'imbalance_ln_eta', round((aa * cy - ab * ay) / (aa * bb - ab * ab), 6) + 0.0, n from s""")
+def g11_within_day_interaction(spark, sf_dir):
+    """Direction on the others' imbalance and its product with ln participation, all less their means of the day."""
+    rows = _crowded(spark, sf_dir, "participation_rate").filter("participation_rate > 0")
+    rows = rows.select("day", F.col("direction").cast("double").alias("y"), F.col("imbalance").alias("a"), (F.col("imbalance") * F.ln("participation_rate")).alias("b"))
+    within = demeaned(rows, "day", "y", "a", "b").select("day", F.col("y_within").alias("y"), F.col("a_within").alias("imbalance"), F.col("b_within").alias("imbalance_ln_eta"))
+    got = models.least_squares(within, "y", ["imbalance", "imbalance_ln_eta"], "day")
+    return got.filter("term <> 'const'").select("term", (F.round("estimate", 6) + 0.0).alias("estimate"), "n")
+
+
 @R.add()
 def g07_g11_pooled_regression(spark, sf_dir):
     """ln |impact| on ln Q/V, ln participation, |imbalance| and flow, with errors clustered by day."""

@@ -103,3 +103,38 @@ def realised(prices: DataFrame, day: list[str], order: str, price: str) -> DataF
         F.sqrt(F.sum(F.col("_r") * F.col("_r"))).alias("realised"),
         F.sqrt(F.sum("_b") * F.lit(1.5707963267948966)).alias("bipower"),
     )
+
+
+def filled_grid(bars: DataFrame, key: list[str], interval: str, value: str) -> DataFrame:
+    """key, interval and value for every interval from the key's first to its last: the last one known where an interval has none.
+
+    key should include the day, so that a grid has a day's intervals.
+    """
+    span = bars.groupBy(*key).agg(F.min(interval).alias("_a"), F.max(interval).alias("_b"))
+    grid = span.select(*key, F.explode(F.sequence("_a", "_b")).alias(interval))
+    w = Window.partitionBy(*key).orderBy(interval).rowsBetween(Window.unboundedPreceding, 0)
+    return grid.join(bars, [*key, interval], "left").withColumn(value, F.last(value, ignorenulls=True).over(w)).select(*key, interval, value)
+
+
+def realised_kernel(prices: DataFrame, day: list[str], order: str, price: str) -> DataFrame:
+    """day, n_returns, variance (sum of squared log returns) and kernel: the variance plus twice the products of returns h apart,
+    for h up to H = floor(n ** (2/3)), with Parzen weights of h / H. Days with fewer than three returns are left out.
+
+    prices have a row per interval of a day's grid, so that a day's returns are an array of bounded length.
+    """
+    w = Window.partitionBy(*day).orderBy(order)
+    r = prices.filter(F.col(price) > 0).withColumn("_r", F.ln(price) - F.lag(F.ln(price)).over(w)).filter("_r is not null")
+    days = r.groupBy(*day).agg(
+        F.count("*").alias("n_returns"), F.sum(F.col("_r") * F.col("_r")).alias("variance"), F.transform(F.sort_array(F.collect_list(F.struct(order, "_r"))), lambda x: x["_r"]).alias("_rs")
+    ).filter("n_returns >= 3")
+    n = F.col("n_returns").cast("int")
+    far = F.floor(F.pow(n.cast("double"), F.lit(2 / 3))).cast("int")
+
+    def at(h):
+        u = h / far
+        weight = F.when(u <= 0.5, 1 - 6 * u * u + 6 * u * u * u).otherwise(2 * (1 - u) * (1 - u) * (1 - u))
+        pairs = F.zip_with(F.slice("_rs", F.lit(1), n - h), F.slice("_rs", h + 1, n - h), lambda a, b: a * b)
+        return 2 * weight * F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
+
+    cross = F.aggregate(F.transform(F.sequence(F.lit(1), far), at), F.lit(0.0), lambda a, x: a + x)
+    return days.select(*day, "n_returns", "variance", (F.col("variance") + cross).alias("kernel"))

@@ -89,7 +89,7 @@ def test_active_volume_is_that_of_all_pairs(spark, seed):
         s = 1_000_000 * r.randrange(0, 60)
         rows.append((i, r.choice("ab"), s, s + 1_000_000 * r.choice([0, 0, 1, 5, 20]), float(r.randint(1, 9)), r.choice([True, False, None])))
     df = spark.createDataFrame(rows, "id int, c string, s bigint, e bigint, q double, up boolean")
-    got = active_volume(df, ["c"], "id", "s", "e", "q", {"up": F.col("up"), "all": F.lit(True)}, F.lit(0))
+    got = active_volume(df, ["c"], "id", "s", "e", "q", {"up": F.col("up"), "all": F.lit(True)})
     for row in got.collect():
         i, c, s, e, *_ = rows[row["id"]]
         for name, ok in (("up", lambda x: x[5]), ("all", lambda x: True)):

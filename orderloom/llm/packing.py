@@ -24,6 +24,7 @@ from orderloom.sources.tables import written
 CAPACITY = 2048
 WINDOWS = 256  # aimed at in a block
 ITEMS = 4096  # aimed at in a block at most
+PARTITIONS = 10_000  # of blocks at most; a fixed number, as blocks are small in bytes but not in work
 STRIDE = 1 << 20  # container numbers of a block
 
 
@@ -145,7 +146,7 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, seed:
 
     rest = (
         dealt.filter(~full)
-        .repartition("_block")
+        .repartition(int(min(blocks, PARTITIONS)), "_block")
         .sortWithinPartitions("_block", F.col("n_tokens").desc(), item, "piece")
         .select(item, "piece", "n_tokens", "_block")
         .mapInPandas(place, schema)

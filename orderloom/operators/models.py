@@ -54,7 +54,7 @@ def least_squares(rows: DataFrame, y: str, xs: Sequence[str], cluster: str, weig
     return spark.createDataFrame(out, schema)
 
 
-def cluster_bootstrap_correlation(sums: DataFrame, by: list[str], runs: int = 1000, alpha: float = 0.05, seed: int = 0, salts: int = 16) -> DataFrame:
+def cluster_bootstrap_correlation(sums: DataFrame, by: list[str], runs: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """by, r, low and high: correlation from per-cluster sums (n, sx, sy, sxx, syy, sxy) with a percentile interval over
     resamples of the clusters.
 

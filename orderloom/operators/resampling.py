@@ -59,3 +59,34 @@ def two_sided(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
     share = lambda c: F.avg(F.when(F.col(value).isNotNull(), c.cast("int")))
     above, below = share(F.col(value) >= F.col("_own") - 1e-12), share(F.col(value) <= F.col("_own") + 1e-12)
     return own.groupBy(*by).agg(F.max("_own").alias(value), F.least(F.lit(1.0), 2 * F.least(above, below)).alias("p"))
+
+
+def strata_permutation(rows: DataFrame, stratum: list[str], row: str, treated: str, value: str, runs: int, seed: int = 0, slices: int = 64) -> DataFrame:
+    """run and effect: the mean of value of treated rows less that of the others of their stratum, weighted by the strata's treated rows.
+
+    Run 0 is as it is; in each other run as many rows of a stratum as were treated are drawn for it, those of the least hashes
+    of seed, run and row (ties by row). Hashes are counted per slice of their range, so only the one slice of a stratum in
+    which the last drawn row lies is sorted. Rows with a NULL value, and strata without both kinds, are left out; no rows give no run.
+    """
+    own = rows.filter(F.col(value).isNotNull() & F.col(treated).isNotNull()).select(*stratum, F.col(row).alias("_row"), F.col(treated).alias("_t"), F.col(value).cast("double").alias("_v"))
+    count = own.groupBy(*stratum).agg(F.count(F.when(F.col("_t"), 1)).alias("_k"), F.count("*").alias("_n"), F.sum("_v").alias("_all"), F.sum(F.when(F.col("_t"), F.col("_v"))).alias("_own"))
+    count = count.filter("_k > 0 and _k < _n").withColumns({f"_s{i}": F.col(c) for i, c in enumerate(stratum)}).drop(*stratum)
+    same = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(stratum)]
+    keys = [f"_s{i}" for i in range(len(stratum))]
+    each = own.join(count.select(*keys, "_k"), same).select(*keys, "_k", "_row", "_v", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+    each = each.withColumn("_h", hashed(F.lit(seed), F.col("run"), F.col("_row"))).withColumn("_slice", F.expr(f"_h div {(1 << 32) // slices}"))
+    per = each.groupBy("run", *keys, "_k", "_slice").agg(F.count("*").alias("_m"), F.sum("_v").alias("_sum"))
+    upto = F.sum("_m").over(Window.partitionBy("run", *keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0))
+    per = per.withColumn("_upto", upto)
+    whole = per.filter("_upto <= _k").select("run", *keys, "_sum")
+    last = per.filter("_upto > _k and _upto - _m < _k").select("run", *keys, "_slice", (F.col("_k") - F.col("_upto") + F.col("_m")).alias("_left"))
+    on = [F.col(c).eqNullSafe(F.col(f"{c}l")) for c in ("run", *keys, "_slice")]
+    cut = each.join(last.select(*[F.col(c).alias(f"{c}l") for c in ("run", *keys, "_slice")], "_left"), on)
+    nth = F.row_number().over(Window.partitionBy("run", *keys, "_slice").orderBy("_h", "_row"))
+    part = cut.withColumn("_nth", nth).filter("_nth <= _left").select("run", *keys, F.col("_v").alias("_sum"))
+    drawn_sum = whole.unionByName(part).groupBy("run", *keys).agg(F.sum("_sum").alias("_own"))
+    renamed = count.select(*[F.col(k).alias(f"{k}c") for k in keys], "_k", "_n", "_all", F.col("_own").alias("_first"))
+    other = drawn_sum.join(renamed, [F.col(k).eqNullSafe(F.col(f"{k}c")) for k in keys]).select("run", "_k", "_n", "_all", "_own")
+    first = renamed.select(F.lit(0).alias("run"), "_k", "_n", "_all", F.col("_first").alias("_own"))
+    both = first.unionByName(other)
+    return both.groupBy("run").agg((F.sum(F.expr("_own - _k * (_all - _own) / (_n - _k)")) / F.sum("_k")).alias("effect")).filter("effect is not null")

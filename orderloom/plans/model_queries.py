@@ -89,14 +89,6 @@ def b06_within_day_placebo(spark, sf_dir):
     return models.within_permutation(_crowded(spark, sf_dir), ["day"], "metaorder_id", "direction", "imbalance")
 
 
-@R.add()
-def g13_power_law_tail(spark, sf_dir):
-    """Power-law tail of the size and the number of child orders per flow."""
-    rows = facts(spark, sf_dir, "n_child").filter("flow is not null")
-    long = rows.select("flow", F.col("q").alias("q"), F.col("n_child").cast("double").alias("n_child")).unpivot("flow", ["q", "n_child"], "metric", "x")
-    return models.power_law_tail(long.filter("x is not null"), ["flow", "metric"], "x")
-
-
 @R.add(f"""
 with {facts_sql()}, {LOCAL_SQL},
 c as (select flow, member_id, count(imbalance) as n, {correlation_sql('direction', 'imbalance', 30)} as r from local

@@ -5,11 +5,12 @@ texts are dealt at random to blocks of bounded size. In each block the multiway
 differencing method of Karmarkar and Karp splits the items into m near-equal
 windows: it keeps merging the two partial partitions of the largest imbalance, the
 largest window of one with the smallest of the other. m begins at what the total
-needs at least; full windows are closed, the items of all others differenced anew, and m
-rises only when no window can be closed.
+needs at least; full windows are closed, the items of all others differenced anew, at random
+shares too, and m rises only when no window can be closed.
 """
 
 import heapq
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,65 +27,90 @@ WINDOWS = 256  # aimed at in a block
 ITEMS = 4096  # aimed at in a block at most
 PARTITIONS = 10_000  # of blocks at most; a fixed number, as blocks are small in bytes but not in work
 STRIDE = 1 << 20  # container numbers of a block
+SLACK = 1 / 256  # of the capacity: windows as full as that are closed, however full the rest must be
+TRIES = 3  # at random shares before the number of windows rises
 
 
 def difference(sizes: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """The window of each item, and the windows' totals, for m windows."""
-    n = len(sizes)
-    totals: dict[int, np.ndarray] = {}
-    for i in range(n):
-        totals[i] = np.zeros(m, np.int64)
-        totals[i][0] = sizes[i]
-    heap = [(-int(x), i) for i, x in enumerate(sizes)]
+    """The window of each item, and the windows' totals from the largest, for m windows."""
+    sized = sizes.tolist()
+    # a partial partition lists its windows that hold anything, (-total, node), largest first; a node is an item or two nodes
+    nodes: list[int | tuple[int, int]] = list(range(len(sized)))
+    parts: list[list | None] = [[(-x, i)] for i, x in enumerate(sized)]
+    heap = [(-x if m > 1 else 0, i) for i, x in enumerate(sized)]
     heapq.heapify(heap)
-    merged: list[tuple[int, int, np.ndarray]] = []
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
-        both = totals.pop(a) + totals.pop(b)[::-1]
-        order = np.argsort(-both, kind="stable")
-        both = both[order]
-        new = n + len(merged)
-        merged.append((a, b, order))
-        totals[new] = both
-        heapq.heappush(heap, (int(both[-1] - both[0]), new))
-    root = heap[0][1]
-    window = {root: np.arange(m)}
-    for k in range(len(merged) - 1, -1, -1):
-        a, b, order = merged[k]
-        at = window.pop(n + k)
-        window[a], window[b] = np.empty(m, np.int64), np.empty(m, np.int64)
-        window[a][order] = at
-        window[b][m - 1 - order] = at
-    return np.array([window[i][0] for i in range(n)], np.int64), totals[root]
-
-
-def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
+        a, b = heapq.heappop(heap)[1], heap[0][1]
+        one, two = parts[a], parts[b]
+        parts[b] = None
+        meet = len(one) + len(two) - m  # windows that must be put together, the largest with the smallest
+        if meet > 0:
+            both = one[: len(one) - meet] + two[: len(two) - meet]
+            for x, y in zip(one[-meet:], two[: -meet - 1 : -1]):
+                both.append((x[0] + y[0], len(nodes)))
+                nodes.append((x[1], y[1]))
+            both.sort()
+        elif len(two) == 1:
+            insort(one, two[0])
+            both = one
+        else:
+            both = sorted(one + two)
+        parts[a] = both
+        heapq.heapreplace(heap, (both[0][0] - (both[-1][0] if len(both) == m else 0), a))
+    root = parts[heap[0][1]]
+    window = np.empty(len(sized), np.int64)
+    for w, (_, node) in enumerate(root):
+        todo = [node]
+        while todo:
+            held = nodes[todo.pop()]
+            if isinstance(held, tuple):
+                todo += held
+            else:
+                window[held] = w
+    return window, np.array([-t for t, _ in root] + [0] * (m - len(root)), np.int64)
+
+
+def windows(sizes: np.ndarray, capacity: int, seed: int = 0) -> np.ndarray:
     """The window of each item, in about as few windows as the total needs. No item exceeds the capacity.
 
-    All items are differenced over the least number of windows. Windows within the capacity and at least as full as
-    the rest must be on average are closed; the items of all others, too full or too empty, are differenced anew.
-    Only when none can be closed does the number of windows rise.
+    All items are differenced over the least number of windows. Windows within the capacity and about as full as the rest
+    must be on average are closed; the items of all others, too full or too empty, are differenced anew. Where no window can
+    be closed, the items are dealt at random to 2, 4 and then 8 shares, each differenced apart; only when that closes none
+    either does the number of windows rise, by twice as many as the last time (a sixteenth of it at
+    most) if nothing was closed since.
     """
     out = np.empty(len(sizes), np.int64)
     rest = np.arange(len(sizes))
-    closed = 0
-    m = max(1, -(-int(sizes.sum()) // capacity))
+    rng = np.random.default_rng(seed)
+    closed = failed = 0
+    rise = 1
+    total = int(sizes.sum())
+    m = max(1, -(-total // capacity))
     while len(rest):
-        at, totals = difference(sizes[rest], m)
-        if totals[0] <= capacity:
-            out[rest] = closed + at
-            break
-        room = (m * capacity - totals.sum()) / m
-        good = (totals <= capacity) & (capacity - totals <= room)
-        if good.any():
+        room = max((m * capacity - total) / m, capacity * SLACK)
+        many = 1 if failed == 0 else min(1 << failed, m // 4)
+        done = np.zeros(len(rest), bool)
+        for share in [np.arange(len(rest))] if many == 1 else np.array_split(rng.permutation(len(rest)), many):
+            own = sizes[rest[share]]
+            at, totals = difference(own, m if many == 1 else max(1, round(m * int(own.sum()) / total)))
+            if many == 1 and totals[0] <= capacity:
+                out[rest] = closed + at
+                return out
+            good = (totals <= capacity) & (capacity - totals <= room)
             number = np.cumsum(good) - 1 + closed
-            done = good[at]
-            out[rest[done]] = number[at[done]]
-            rest = rest[~done]
+            mine = good[at]
+            out[rest[share[mine]]] = number[at[mine]]
+            done[share[mine]] = True
             closed += int(good.sum())
             m -= int(good.sum())
+        if done.any():
+            rest, failed, rise = rest[~done], 0, 1
+            total = int(sizes[rest].sum())
+            m = max(1, m, -(-total // capacity))
+        elif failed < TRIES and m >= 8:
+            failed += 1
         else:
-            m += 1
+            m, failed, rise = m + rise, 0, min(rise * 2, max(1, m // 16))
     return out
 
 

@@ -140,7 +140,7 @@ from documents"""
 @R.add(P7_SQL)
 def p7_checked(spark, sf_dir):
     """What must hold of the containers, over all texts: every token is in its place, no container holds more than 2,048,
-    only texts larger than that are cut, offsets leave no hole, and at most 3 % more containers than the total needs
+    only texts larger than that are cut, offsets leave no hole, and at most 1 % more containers than the total needs
     (and one of each block of texts)."""
     sizes = written(with_sizes(table(spark, sf_dir, "documents").select("doc_id", "text")), "sizes")
     placed = pack(sizes, "doc_id", "n_tokens")
@@ -154,7 +154,7 @@ def p7_checked(spark, sf_dir):
     boxes = placed.groupBy("container").agg(F.sum("n_tokens").alias("n"), F.max(F.col("offset") + F.col("n_tokens")).alias("upto"))
     boxes = boxes.agg(F.every(F.col("n") <= CAPACITY).alias("none_over"), F.every(F.col("n") == F.col("upto")).alias("offsets_close"), F.count("*").alias("_used"))
     needed = F.ceil(F.col("_total") / CAPACITY)
-    filled = F.col("_used") <= needed * 1.03 + F.ceil(needed / WINDOWS)
+    filled = F.col("_used") <= needed * 1.01 + F.ceil(needed / WINDOWS)
     return docs.join(F.broadcast(boxes)).select("documents", "all_placed", "none_over", "cut_only_if_larger", "offsets_close", filled.alias("well_filled"))
 
 

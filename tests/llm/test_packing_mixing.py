@@ -22,6 +22,27 @@ def test_differencing_balances():
     sizes = np.array([r.randint(0, 100) for _ in range(200)])
     at = windows(sizes, 100)
     assert np.bincount(at, weights=sizes).max() <= 100
+    # the least windows there can be, or nearly; items that leave half a window unused; nothing but zeros
+    sizes = np.sort(np.array([int(r.paretovariate(0.8) * 80) % 2048 for _ in range(1000)]))[::-1]
+    assert np.bincount(windows(sizes, 2048), weights=sizes).max() <= 2048
+    assert len(set(windows(sizes, 2048).tolist())) <= -(-sizes.sum() // 2048) * 1.01 + 1
+    assert len(set(windows(np.array([1025] * 400), 2048).tolist())) == 400 and len(set(windows(np.array([683] * 40), 2048).tolist())) == 20
+    assert windows(np.array([0, 0]), 2048).tolist() == [0, 0]
+
+
+def test_differencing_by_its_definition():
+    """Against merging of whole partitions with all their windows."""
+    r = random.Random(6)
+    for m in (1, 2, 3, 7, 40):
+        sizes = np.array(sorted((r.randint(0, 50) for _ in range(30)), reverse=True))
+        parts = [sorted([int(x)] + [0] * (m - 1), reverse=True) for x in sizes]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: p[-1] - p[0])
+            one, two = parts.pop(0), parts.pop(0)
+            parts.append(sorted((x + y for x, y in zip(one, reversed(two))), reverse=True))
+        at, totals = difference(sizes, m)
+        assert np.bincount(at, weights=sizes, minlength=m).tolist() == totals.tolist()
+        assert sum(totals) == sum(parts[0]) and abs((totals[0] - totals[-1]) - (parts[0][0] - parts[0][-1])) <= sizes[0]
 
 
 def test_packing(spark):

@@ -186,3 +186,56 @@ def j08_return_attach(spark, sf_dir):
     m = t.groupBy("isin", "member", "day").agg((F.sum(F.col("q") * F.col("sign")) / F.sum("q")).alias("imbalance"))
     nine = lambda c: (F.round(c, 9) + 0.0).alias(c)
     return m.join(r, ["isin", "day"], "left").select("isin", "member", "day", nine("imbalance"), nine("daily_return"))
+
+
+GRID = 50  # points on either side of 0
+
+
+@R.add(f"""
+with {facts_sql()},
+d as (select flow, sum(q * direction) / sum(q) as x from fact where flow is not null group by flow, isin, day),
+s as (select flow, count(*) as n, stddev_samp(x) * pow(count(*), -0.2) as h from d group by flow having count(*) >= 2 and stddev_samp(x) > 0),
+g as (select unnest(range({-GRID}, {GRID + 1})) as i)
+select d.flow, i::int as point, round(avg(exp(-0.5 * pow((i / {GRID}.0 - x) / h, 2))) / max(h) / sqrt(2 * pi()), 8) as density
+from d join s using (flow), g group by d.flow, i""")
+def a43_kernel_density(spark, sf_dir):
+    """Gaussian kernel density (Scott's width) of the signed share of each ISIN's day, per flow, at 101 points from -1 to 1.
+
+    The kernel runs over ISIN-days, of which there are days times ISINs, not over metaorders.
+    """
+    d = facts(spark, sf_dir).filter("flow is not null").groupBy("flow", "isin", "day").agg((F.sum(F.col("q") * F.col("direction")) / F.sum("q")).alias("x"))
+    d = written(d.select("flow", "x"), "shares")
+    s = d.groupBy("flow").agg(F.count("*").alias("n"), F.stddev_samp("x").alias("sd")).filter("n >= 2 and sd > 0").select("flow", (F.col("sd") * F.pow("n", F.lit(-0.2))).alias("h"))
+    each = d.join(F.broadcast(s), "flow").withColumn("point", F.explode(F.sequence(F.lit(-GRID), F.lit(GRID))))
+    z = (F.col("point") / float(GRID) - F.col("x")) / F.col("h")
+    mean = F.avg(F.exp(-0.5 * z * z)) / F.max("h") / F.sqrt(2 * F.pi())
+    return each.groupBy("flow", "point").agg(F.round(mean, 8).alias("density"))
+
+
+LEAST_SECONDS, LEAST_QV, CAP = 60, 1e-5, 1.0
+_STAGES = {
+    "long_enough": f"end_us - start_us >= {LEAST_SECONDS * 1_000_000}",
+    "large_enough": f"q_over_v > {LEAST_QV}",
+    "under_cap": f"participation_rate < {CAP}",
+    "kept": "price_change * direction / nullif(daily_vol, 0) is not null",
+}
+
+
+def _upto(stage: str) -> str:
+    names = list(_STAGES)
+    return " and ".join(_STAGES[n] for n in names[: names.index(stage) + 1])
+
+
+@R.add(f"""
+with {facts_sql('q_over_v', 'participation_rate', 'price_change', 'daily_vol')}
+select flow, direction, count(*) as metaorders, {', '.join(f"count(*) filter ({_upto(n)}) as {n}" for n in _STAGES)},
+       round(avg(price_change * direction / nullif(daily_vol, 0)) filter ({_upto('kept')}), 8) + 0.0 as mean_impact
+from fact where flow is not null group by all""")
+def f04_overlay_sample(spark, sf_dir):
+    """What a sample's filters leave one after the other, per flow and side: duration, size, participation, and a known impact; and its mean impact."""
+    rows = facts(spark, sf_dir, "q_over_v", "participation_rate", "price_change", "daily_vol").filter("flow is not null")
+    impact = F.expr("price_change * direction / nullif(daily_vol, 0)")
+    counts = [F.count(F.when(F.expr(_upto(n)), 1)).alias(n) for n in _STAGES]
+    return rows.groupBy("flow", "direction").agg(
+        F.count("*").alias("metaorders"), *counts, (F.round(F.avg(F.when(F.expr(_upto("kept")), impact)), 8) + 0.0).alias("mean_impact")
+    )

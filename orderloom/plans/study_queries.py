@@ -94,15 +94,35 @@ v as (select step, day, sqrt(sum(r * r)) as rv from r group by all having count(
 select step::int as step, count(*) as days, round(avg(rv), 6) as mean, round(stddev_samp(rv) / sqrt(count(*)), 6) as se from v group by step""")
 def a05_signature(spark, sf_dir):
     """Mean realised volatility and its error for four sampling intervals in seconds."""
-    t, out = tape(spark, sf_dir), None
-    for step in STEPS:
-        v = realised(last_per_interval(t, ["isin", "day"], "t", "row_id", "price", step * 1_000_000), ["isin", "day"], "interval", "price")
-        one = v.filter("n_returns > 0").agg(
-            F.lit(step).alias("step"), F.count("*").alias("days"), F.round(F.avg("realised"), 6).alias("mean"),
-            F.round(F.stddev_samp("realised") / F.sqrt(F.count("*")), 6).alias("se"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _signature(spark, sf_dir, F.array(*[F.lit(x) for x in STEPS])).select("step", "days", "mean", "se")
+
+
+def _signature(spark, sf_dir, steps):
+    """Means and errors of realised and bipower volatility over days, per sampling interval: prices at the ends of seconds are made once and
+    sampled anew for each interval."""
+    seconds = last_per_interval(tape(spark, sf_dir), ["isin", "day"], "t", "row_id", "price", 1_000_000).withColumnRenamed("interval", "second")
+    each = seconds.withColumn("step", F.explode(steps.cast("array<int>")))
+    key = ["step", "isin", "day"]
+    sampled = each.groupBy(*key, F.expr("second div step").alias("interval")).agg(F.max_by("price", "second").alias("price"))
+    v = realised(sampled, key, "interval", "price").filter("n_returns > 0")
+    error = lambda c: F.round(F.stddev_samp(c) / F.sqrt(F.count("*")), 6)
+    return v.groupBy("step").agg(
+        F.count("*").alias("days"), F.round(F.avg("realised"), 6).alias("mean"), error("realised").alias("se"), F.round(F.avg("bipower"), 6).alias("mean_bipower"), error("bipower").alias("se_bipower")
+    )
+
+
+@R.add(f"""
+with {TAPE_SQL}, st as (select unnest(range(1, 2000, 20)) as step),
+s as (select isin, day, t // 1000000 as second, arg_max(price, (t, row_id)) as price from tape group by all),
+l as (select step, isin, day, second // step as interval, arg_max(price, second) as price from s, st group by all),
+r as (select step, isin, day, interval, ln(price) - lag(ln(price)) over (partition by step, isin, day order by interval) as r from l where price > 0),
+b as (select *, abs(r) * abs(lag(r) over (partition by step, isin, day order by interval)) as b from r),
+v as (select step, isin, day, sqrt(sum(r * r)) as rv, sqrt(sum(b) * 1.5707963267948966) as bv from b group by all having count(r) > 0)
+select step::int as step, count(*) as days, round(avg(rv), 6) as mean, round(stddev_samp(rv) / sqrt(count(*)), 6) as se,
+       round(avg(bv), 6) as mean_bipower, round(stddev_samp(bv) / sqrt(count(*)), 6) as se_bipower from v group by step""")
+def a05_signature_plot(spark, sf_dir):
+    """Mean realised and bipower volatility and their errors for the 100 sampling intervals 1, 21, ... 1981 seconds."""
+    return _signature(spark, sf_dir, F.sequence(F.lit(1), F.lit(1999), F.lit(20)))
 
 
 @R.add(r"""

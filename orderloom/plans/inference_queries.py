@@ -186,10 +186,10 @@ def b11_strata_permutation(spark, sf_dir):
     """Impact at high participation less others' of the same ISIN, day and 20 minutes, and how often drawing the high ones at random
     within these strata gives as much."""
     rows = facts(spark, sf_dir, "participation_rate", "impact").filter("participation_rate > 0")
-    cut = quantiles(rows, [], ["participation_rate"], [0.5]).select(F.col("q_participation_rate")[0]).first()
     slot = F.expr(f"pmod(start_us, {DAY_US}) div 60000000 div 20")
-    rows = rows.filter("start_us is not null and impact is not null").select("isin", "day", slot.alias("slot"), "metaorder_id", "impact", (F.col("participation_rate") >= F.lit(cut and cut[0])).alias("high"))
-    rows = written(rows, "strata")
+    rows = written(rows.select("isin", "day", slot.alias("slot"), "metaorder_id", "impact", "participation_rate"), "strata")
+    cut = quantiles(rows, [], ["participation_rate"], [0.5]).select(F.col("q_participation_rate")[0]).first()
+    rows = rows.filter("slot is not null and impact is not null").withColumn("high", F.col("participation_rate") >= F.lit(cut and cut[0]))
     stratum = ["isin", "day", "slot"]
     runs = written(re.strata_permutation(rows, stratum, "metaorder_id", "high", "impact", STRATA_RUNS, 5), "runs")
     own = runs.filter("run = 0").select(F.col("effect").alias("x0"))

@@ -73,3 +73,29 @@ def test_strata_permutation_by_brute_force(spark):
             down += k
         assert got[run] == pytest.approx(up / down, abs=1e-9)
     assert strata_permutation(df.filter("false"), ["s"], "id", "t", "v", 2).count() == 0
+
+
+def _shuffled_rows(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_strata_permutation_moves_rows_once(spark):
+    """What is shuffled doesn't grow with the runs; a row without a number is drawn last, as SQL has it."""
+    rng = np.random.default_rng(5)
+    rows = [(f"s{rng.integers(900)}", None if i == 7 else i, bool(rng.random() < 0.4), float(rng.normal())) for i in range(3000)]
+    df = spark.createDataFrame([*rows, ("a", None, True, 1e6), ("a", 1, True, 1.0), ("a", 2, False, 3.0)], "s string, id bigint, t boolean, v double")
+    before = _shuffled_rows(spark)
+    whole = {r["run"]: r["effect"] for r in strata_permutation(df, ["s"], "id", "t", "v", 40, 3).collect()}
+    assert len(whole) == 41 and _shuffled_rows(spark) - before < 4 * df.count()
+    assert all(e < 0 for run, e in whole.items() if run > 0) and whole[0] > 0
+
+
+@pytest.mark.parametrize("most", [100, 0])
+def test_strata_drawn_by_slices_are_the_same(spark, most):
+    rng = np.random.default_rng(6)
+    rows = [("hot" if i % 3 else f"s{i % 11}", None if i in (7, 8) else i, bool(rng.random() < 0.4), float(rng.normal())) for i in range(900)]
+    df = spark.createDataFrame(rows, "s string, id bigint, t boolean, v double")
+    whole, parts = ({r["run"]: r["effect"] for r in strata_permutation(df, ["s"], "id", "t", "v", 6, 3, most=m).collect()} for m in (1 << 18, most))
+    assert len(whole) == 7 and parts == pytest.approx(whole, abs=1e-9)

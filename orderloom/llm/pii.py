@@ -160,6 +160,9 @@ def _pool(parts: tuple[tuple[str, str], ...], path: str, seed: int, n: int):
 
 def _train_some(tagger: Tagger, state: dict, pool, seed: int, first: int, steps: int) -> None:
     """So many steps of a tagger on a pool, whose neighbours make batches, as they are of about the same length."""
+    # The C library keeps up to twice the largest block freed so far; else it gives each step's arrays back to the system,
+    # and mapping their pages anew takes a third of the time.
+    np.empty(31 << 20, np.uint8)
     chars, flags, gold = pool
     rng = np.random.default_rng(seed)
     near = min(20 * BATCH, len(chars))
@@ -176,30 +179,42 @@ def _train_some(tagger: Tagger, state: dict, pool, seed: int, first: int, steps:
 def trained(spark, parts: tuple[tuple[str, str], ...], path: str = TOKENIZER) -> Tagger:
     """A tagger trained on ROUNDS x SHARDS x POOL invented labelled lines; the same for the same arguments.
 
-    Each round trains SHARDS copies in as many tasks, each on lines of its own, and goes on from their mean.
+    Each round trains SHARDS copies in as many tasks, each on lines of its own, and goes on from their mean. As many more
+    tasks beside them make the next round's lines.
     """
     tagger = Tagger.fresh(TYPES, HIDDEN, 7)
     state = tagger.fresh_state()
+    pools: dict[int, tuple[np.ndarray, ...]] = {}
+    kinds = ("chars", "flags", "gold")
 
-    def train(k: int, n: int):
+    def work(k: int, n: int):
         def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for shard in batch["id"].tolist():
-                    own = Tagger({x: w.copy() for x, w in tagger.weights.items()}, TYPES)
-                    moments = {x: w.copy() for x, w in state.items()}
+                for task in batch["id"].tolist():
+                    shard = task % SHARDS
                     seed = 1000 * (k + 1) + shard
-                    _train_some(own, moments, _pool(parts, path, seed, POOL), seed, k * n, n)
-                    rows = {**own.weights, **{f"{x} state": w for x, w in moments.items()}}
-                    yield pd.DataFrame({"shard": shard, "name": list(rows), "bytes": [w.astype(np.float32).tobytes() for w in rows.values()]})
+                    if task >= SHARDS:
+                        rows = dict(zip(kinds, (x.astype(np.uint8) for x in _pool(parts, path, seed + 1000, POOL))))
+                    else:
+                        own = Tagger({x: w.copy() for x, w in tagger.weights.items()}, TYPES)
+                        moments = {x: w.copy() for x, w in state.items()}
+                        chars, flags, gold = pools[shard]
+                        _train_some(own, moments, (chars, flags, gold.astype(np.int64)), seed, k * n, n)
+                        rows = {x: w.astype(np.float32) for x, w in {**own.weights, **{f"{x} state": w for x, w in moments.items()}}.items()}
+                    yield pd.DataFrame({"task": task, "name": list(rows), "bytes": [w.tobytes() for w in rows.values()]})
 
         return one
 
-    for k in range(ROUNDS):
-        rows = spark.range(0, SHARDS, 1, SHARDS).mapInPandas(train(k, STEPS), "shard long, name string, bytes binary").collect()
-        of = {(r["shard"], r["name"]): np.frombuffer(r["bytes"], np.float32) for r in rows}
-        mean = lambda x: sum(of[i, x] for i in range(SHARDS)) / np.float32(SHARDS)
-        tagger.weights = {x: mean(x).reshape(w.shape) for x, w in tagger.weights.items()}
-        state = {x: mean(f"{x} state").reshape(w.shape) for x, w in state.items()}
+    for k in range(-1, ROUNDS):
+        first, last = SHARDS * (k < 0), SHARDS * (1 + (k + 1 < ROUNDS))
+        rows = spark.range(first, last, 1, last - first).mapInPandas(work(k, STEPS), "task long, name string, bytes binary").collect()
+        of = {(r["task"], r["name"]): r["bytes"] for r in rows}
+        if k >= 0:
+            mean = lambda x: sum(np.frombuffer(of[i, x], np.float32) for i in range(SHARDS)) / np.float32(SHARDS)
+            tagger.weights = {x: mean(x).reshape(w.shape) for x, w in tagger.weights.items()}
+            state = {x: mean(f"{x} state").reshape(w.shape) for x, w in state.items()}
+        if last > SHARDS:
+            pools = {i: tuple(np.frombuffer(of[SHARDS + i, x], np.uint8).reshape(-1, LENGTH) for x in kinds) for i in range(SHARDS)}
     return tagger
 
 

@@ -1,4 +1,10 @@
-"""The tagger's gradients, its accuracy on lines of no generator, the gate's recall, trimming, and whole texts."""
+"""The tagger's gradients, its fit, its accuracy on lines of no generator, the gate's recall, trimming, and whole texts."""
+
+import os
+import platform
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -44,6 +50,44 @@ def test_viterbi_is_the_best_path():
         assert list(paths[score.argmax()]) == got[:, b].tolist()
 
 
+def test_rounds_go_on_from_the_mean_of_their_shards(spark, monkeypatch):
+    for name, value in (("ROUNDS", 2), ("STEPS", 3), ("POOL", 150)):
+        monkeypatch.setattr(pii, name, value)
+    parts = tuple(PARTS)
+    got = pii.trained(spark, parts)
+    monkeypatch.undo()  # tasks have the rate of the whole number of steps
+    want = Tagger.fresh(TYPES, pii.HIDDEN, 7)
+    state = want.fresh_state()
+    for k in range(2):
+        each = [(Tagger({x: w.copy() for x, w in want.weights.items()}, TYPES), {x: w.copy() for x, w in state.items()}) for _ in range(pii.SHARDS)]
+        for i, (own, moments) in enumerate(each):
+            seed = 1000 * (k + 1) + i
+            pii._train_some(own, moments, pii._pool(parts, pii.TOKENIZER, seed, 150), seed, 3 * k, 3)
+        want.weights = {x: sum(t.weights[x] for t, _ in each) / len(each) for x in want.weights}
+        state = {x: sum(m[x] for _, m in each) / len(each) for x in state}
+    for x, w in want.weights.items():
+        assert got.weights[x] == pytest.approx(w, abs=1e-3), x
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="counts what glibc does")
+def test_steps_map_no_memory_anew():
+    """A fresh process's steps work in memory that it has: mapped anew, theirs are some 4,500 pages a step."""
+    script = """
+import resource
+import numpy as np
+from orderloom.llm import pii
+pool = (np.full((600, 120), 5, np.uint8), np.zeros((600, 120), np.uint8), np.zeros((600, 120), np.int64))
+tagger = pii.Tagger.fresh(pii.TYPES, pii.HIDDEN, 7)
+state = tagger.fresh_state()
+pii._train_some(tagger, state, pool, 1, 0, 3)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+pii._train_some(tagger, state, pool, 1, 3, 5)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) // 5)
+"""
+    env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2]), "OMP_NUM_THREADS": "1"}
+    assert int(subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, check=True).stdout) < 1500
+
+
 @pytest.fixture(scope="module")
 def parts_table(spark):
     return table(spark, "/root/testdata/sf0.01", "name_parts")
